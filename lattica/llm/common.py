@@ -1,28 +1,16 @@
-"""What several operators share: durable intermediate results, tiles, components."""
+"""What several operators share: batches, pairs of tiles, and lattica.graph's components and durable tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..graph import connected_components, durable, roots
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df by a reliable checkpoint in spark.checkpoint.dir.
-
-    The files are on storage that all executors share, so the result outlives any
-    executor. Only where that setting is absent (unit tests) a local folder is taken.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        where = context.getConf().get("spark.checkpoint.dir", "")
-        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="lattica-"))
-    return df.checkpoint(eager=True)
+__all__ = ["batches", "by_pair", "connected_components", "durable", "roots", "shuffle_partitions", "tile_pairs"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -44,67 +32,6 @@ def batches(f, schema: str):
     return run
 
 
-def roots(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
-    """For each of n local nodes the smallest node it reaches over the edges (a, b).
-
-    label: the result of an earlier call, to which these edges are added.
-    """
-    label = np.arange(n) if label is None else label
-    while len(a):
-        x, y = label[a], label[b]
-        apart = x != y
-        if not apart.any():
-            break
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while True:
-            jumped = label[label]
-            if np.array_equal(jumped, label):
-                break
-            label = jumped
-    return label
-
-
-def _both_ways(edges: DataFrame) -> DataFrame:
-    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    return edges.select(F.explode(ways).alias("e")).select("e.a", "e.b")
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """Components of the graph with edges (a, b), as (node, component), for nodes that have edges.
-
-    component is the smallest node reachable. Each round hooks every node to its smallest
-    smaller neighbour, shortens the chains once, and contracts the edges; nothing but the
-    number of edges left reaches the driver. A hub only costs in the two joins of the
-    contraction, which adaptive execution can split; the minimum is combined map-side.
-    """
-    edges = durable(
-        edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
-    label = _both_ways(edges).select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
-    while not edges.isEmpty():
-        hook = _both_ways(edges).groupBy("a").agg(F.min("b").alias("to")).where("to < a")
-        hook = durable(hook)
-        next_hook = hook.select(F.col("a").alias("to"), F.col("to").alias("further"))
-        hook = durable(
-            hook.join(next_hook, "to", "left").select("a", F.coalesce("further", "to").alias("to"))
-        )
-        for side in ("a", "b"):
-            moved = hook.select(F.col("a").alias(side), F.col("to").alias("to"))
-            other = "b" if side == "a" else "a"
-            edges = edges.join(moved, side, "left").select(F.coalesce("to", side).alias(side), other).select("a", "b")
-        edges = durable(
-            edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        )
-        moved = hook.select(F.col("a").alias("component"), "to")
-        label = durable(
-            label.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        )
-    return label
-
-
 def tile_pairs(tiles: DataFrame, pairs: DataFrame) -> DataFrame:
     """The rows of both tiles of each pair, one after the other: (tile, ..., pair).
 
@@ -132,16 +59,3 @@ def by_pair(f):
             yield from f(held).to_batches()
 
     return run
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, removed when the application ends."""
-    spark = df.sparkSession
-    jvm, context = spark._jvm, spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="lattica-"))
-    path = f"{context._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.parquet(path)
