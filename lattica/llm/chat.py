@@ -72,34 +72,31 @@ def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     `branches` of each are kept, or all. A message whose parent is not there is a root. Messages
     on a cycle have no root and are on no path.
 
-    Ancestors are enumerated by self-joins whose reach doubles, so a tree of depth d takes
-    log2(d) rounds. Each round is checkpointed; only whether one is left reaches the driver.
+    Ancestors are found by self-joins whose reach doubles, so a tree of depth d takes log2(d)
+    rounds, and a message takes part only as long as it has an ancestor that far. Each round is
+    written to the shared folder; only whether one is left reaches the driver.
     """
     messages = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     there = messages.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
-    jumps = messages.join(there, ["tree", "parent"], "left").withColumn("up", F.when(F.col("there"), F.col("parent")))
-    jumps = durable(jumps.select("tree", "node", "up", F.col("score").alias("total"), F.lit(1).cast("long").alias("steps")))
-    levels, limit = [jumps], max(1, jumps.count()).bit_length()
-    while len(levels) <= limit and not jumps.where("up IS NOT NULL").isEmpty():
-        other = jumps.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("steps").alias("steps2"))
-        jumps = jumps.join(other, ["tree", "up"], "left").select(
-            "tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")
-        )
-        jumps = durable(jumps)
-        levels.append(jumps)
+    first = messages.join(there, ["tree", "parent"], "left").withColumn("up", F.when(F.col("there"), F.col("parent")))
+    first = durable(first.select("tree", "node", "up", F.col("score").alias("total")))
+    ended, active = first.where("up IS NULL"), first.where("up IS NOT NULL")
+    levels, limit = [], first.count().bit_length()
+    while len(levels) <= limit and not active.isEmpty():
+        levels.append(active.select("tree", "node", "up"))
+        other = ended.union(active).select("tree", F.col("node").alias("up"), F.col("up").alias("further"), F.col("total").alias("more"))
+        reached = active.join(other, ["tree", "up"]).select("tree", "node", F.col("further").alias("up"), (F.col("total") + F.col("more")).alias("total"))
+        reached = durable(reached)
+        ended, active = ended.union(reached.where("up IS NULL")), reached.where("up IS NOT NULL")
     replied = messages.select("tree", F.col("parent").alias("node")).where("node IS NOT NULL").distinct()
-    leaves = jumps.where("up IS NULL").join(replied, ["tree", "node"], "left_anti")
+    leaves = ended.join(replied, ["tree", "node"], "left_anti")
     ranked = leaves.withColumn("branch", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "node")))
     if branches is not None:
         ranked = ranked.where(F.col("branch") <= branches)
-    found = ranked.select("tree", F.col("node").alias("path"), "branch", F.col("total").alias("score"), "node", F.lit(0).cast("long").alias("place"))
-    for k, level in enumerate(levels):
-        step = level.where("up IS NOT NULL").select("tree", "node", "up")
-        reached = F.filter(F.array(F.struct("node", "place"), F.struct(F.col("up").alias("node"), (F.col("place") + (1 << k)).alias("place"))), lambda x: x["node"].isNotNull())
-        found = found.join(step, ["tree", "node"], "left").select("tree", "path", "branch", "score", F.explode(reached).alias("r"))
-        found = found.select("tree", "path", "branch", "score", "r.node", "r.place")
-        if k % 2:
-            found = durable(found)
+    found = durable(ranked.select("tree", F.col("node").alias("path"), "branch", F.col("total").alias("score"), "node", F.lit(0).cast("long").alias("place")))
+    for k, step in enumerate(levels):
+        further = found.join(step, ["tree", "node"]).select("tree", "path", "branch", "score", F.col("up").alias("node"), (F.col("place") + (1 << k)).alias("place"))
+        found = found.union(durable(further))
     return found
 
 
