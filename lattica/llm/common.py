@@ -10,24 +10,30 @@ from pyspark.sql import functions as F
 
 from ..graph import connected_components, durable, roots
 
-__all__ = ["batches", "by_pair", "connected_components", "durable", "roots", "shuffle_partitions", "tile_pairs"]
+__all__ = ["batches", "by_pair", "connected_components", "durable", "pair_rows", "roots", "shuffle_partitions", "slices", "tile_pairs"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def slices(parts: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches, not empty and at most `rows` at a time, so that what is made of a batch stays small."""
+    for part in parts:
+        for at in range(0, part.num_rows, rows):
+            yield part.slice(at, rows)
+
+
 def batches(f, schema: str):
-    """mapInArrow body from f(pyarrow.Table) -> dict of columns; empty batches are skipped."""
+    """mapInArrow body from f(pyarrow.RecordBatch) -> dict of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            if part.num_rows:
-                yield pa.RecordBatch.from_pydict(f(part), schema=arrow)
+        for part in slices(parts):
+            yield pa.RecordBatch.from_pydict(f(part), schema=arrow)
 
     return run
 
@@ -35,8 +41,9 @@ def batches(f, schema: str):
 def tile_pairs(tiles: DataFrame, pairs: DataFrame) -> DataFrame:
     """The rows of both tiles of each pair, one after the other: (tile, ..., pair).
 
-    tiles: (tile, ...), a row for each tile. pairs: (pair, tile), a row for each tile of a pair,
-    with pairs numbered from 0 and dealt evenly over the partitions by their number.
+    tiles: (tile, ...), a row for each tile. pairs: (pair, tile, tiles), a row for each tile of a
+    pair, with pairs numbered from 0 and dealt evenly over the partitions by their number; tiles
+    is 1 where a tile is paired with itself, else 2.
     """
     last = pairs.agg(F.max("pair")).first()[0]
     n = min(int(last or 0) + 1, 4 * shuffle_partitions(tiles.sparkSession))
@@ -44,18 +51,31 @@ def tile_pairs(tiles: DataFrame, pairs: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("pair", "tile")
 
 
+def pair_rows(spark: SparkSession, met: list[tuple[int, int]]) -> DataFrame:
+    """tile_pairs' pairs from a list of them."""
+    rows = [(k, t, len({*pair})) for k, pair in enumerate(met) for t in dict.fromkeys(pair)]
+    return spark.createDataFrame(rows, "pair int, tile int, tiles int")
+
+
 def by_pair(f):
-    """mapInArrow body that calls f(list of row dicts) -> pyarrow.Table for each pair of tiles."""
+    """mapInArrow body that calls f(list of row dicts) -> pyarrow.Table for each pair of tiles.
+
+    A tile without rows isn't there, and its pairs are skipped.
+    """
+
+    def whole(held: list[dict]) -> bool:
+        return bool(held) and len(held) == held[0]["tiles"]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         for part in parts:
             for row in part.to_pylist():
                 if held and held[0]["pair"] != row["pair"]:
-                    yield from f(held).to_batches()
+                    if whole(held):
+                        yield from f(held).to_batches()
                     held = []
                 held.append(row)
-        if held:
+        if whole(held):
             yield from f(held).to_batches()
 
     return run

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_pair, connected_components, durable, roots, tile_pairs
+from .common import by_pair, connected_components, durable, pair_rows, roots, tile_pairs
 
 #: Rows of the left tile multiplied at a time.
 ROWS = 512
@@ -133,7 +133,7 @@ def embedding_duplicates(
         return pa.table({"tile": t.column("tile").slice(0, 1), "ids": [one("id")], "copies": [one("copies")], "rows": [x.tobytes()], "kind": [numpy_kind]})
 
     blobs = durable(tiled.groupBy("tile").applyInArrow(blob, "tile int, ids binary, copies binary, rows binary, kind string"))
-    pairs = spark.createDataFrame([(k, t) for k, pair in enumerate(met) for t in dict.fromkeys(pair)], "pair int, tile int")
+    pairs = pair_rows(spark, met)
     found = tile_pairs(blobs, pairs).mapInArrow(by_pair(lambda tiles: _links(tiles, threshold)), "id long, links long, root long")
     found = durable(found)
     component = connected_components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))

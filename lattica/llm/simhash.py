@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, by_pair, connected_components, durable, roots, tile_pairs
+from .common import batches, by_pair, connected_components, durable, pair_rows, roots, tile_pairs
 
 #: Shingles whose hashes are summed at a time, so that a very long text needs no more memory.
 CHUNK = 1 << 16
@@ -18,11 +18,20 @@ CHUNK = 1 << 16
 PAIRS = 1 << 21
 
 
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The kth further hash made of a hash, by multiplications and shifts in 64 bits."""
+    h = h + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def fingerprint(text: str | None, words: int = 4, parts: int = 1, seed: int = 42) -> list[int]:
-    """Parts of 64 bits each; part k has seed + k. A bit is 1 if set in over half the hashes.
+    """Parts of 64 bits each, the first from XXH64 of the shingles, the others from hashes of it.
 
-    A-Z are lower-cased, words are runs without ASCII white space, a text of fewer words than a
-    shingle is one shingle, and a text without words has the fingerprint zero.
+    A bit is 1 if set in over half the hashes. A-Z are lower-cased, words are runs without ASCII
+    white space, a text of fewer words than a shingle is one shingle, and a text without words has
+    the fingerprint zero.
     """
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
@@ -31,15 +40,14 @@ def fingerprint(text: str | None, words: int = 4, parts: int = 1, seed: int = 42
     ends = list(itertools.accumulate(len(w) + 1 for w in tokens))
     starts = [0, *ends[:-1]]
     stops = ends[min(words, len(tokens)) - 1 :]
-    n, out = len(stops), []
+    n, ones = len(stops), np.zeros((parts, 64), np.int64)
     digest = xxhash.xxh64_intdigest
-    for k in range(parts):
-        ones = np.zeros(64, np.int64)
-        for at in range(0, n, CHUNK):
-            h = np.array([digest(joined[s : e - 1], seed + k) for s, e in zip(starts[at : at + CHUNK], stops[at : at + CHUNK])], "<u8")
-            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]))
-    return out
+    for at in range(0, n, CHUNK):
+        h = np.array([digest(joined[s : e - 1], seed) for s, e in zip(starts[at : at + CHUNK], stops[at : at + CHUNK])], "<u8")
+        for k in range(parts):
+            bits = (_mixed(h, k) if k else h).astype("<u8").view(np.uint8).reshape(-1, 8)
+            ones[k] += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return [int(np.packbits(2 * o > n, bitorder="little").view("<u8")[0]) for o in ones]
 
 
 def fingerprints(docs: DataFrame, words: int = 4, parts: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -53,18 +61,18 @@ def fingerprints(docs: DataFrame, words: int = 4, parts: int = 1, id_col: str =
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(batches(run, schema), schema)
 
 
-def _profile(prints: np.ndarray) -> np.ndarray:
-    """Population counts of the 16-bit words of each fingerprint."""
-    return np.bitwise_count(np.ascontiguousarray(prints).view(np.uint16)).astype(np.int16)
+def _profile(prints: np.ndarray, radius: int) -> np.ndarray:
+    """Population counts of each fingerprint: of its 16-bit words, or, for a radius too wide to tell these apart, of its parts."""
+    return np.bitwise_count(np.ascontiguousarray(prints).view(np.uint16 if radius <= 8 else np.uint64)).astype(np.int16)
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray, radius: int):
     """Chunks (i, j) of all row pairs of a and b, (n, parts) uint64, within radius bits.
 
-    Rows are grouped by the population counts of their 16-bit words; two groups whose counts
+    Rows are grouped by the population counts of their words; two groups whose counts
     differ by more than the radius in all can hold no such pair and are skipped.
     """
-    pa_, pb = _profile(a), _profile(b)
+    pa_, pb = _profile(a, radius), _profile(b, radius)
     groups_a, of_a = np.unique(pa_, axis=0, return_inverse=True)
     groups_b, of_b = np.unique(pb, axis=0, return_inverse=True)
     order_a, of_b = np.argsort(of_a, kind="stable"), of_b.ravel()
@@ -143,10 +151,7 @@ def simhash_links(prints: DataFrame, radius: int, tile_rows: int = 8192, max_til
         .applyInArrow(lambda t: _blob(t, ["id", *cols]), "tile int, rows binary")
     )
     met = [(x, y) for x, (_, high) in enumerate(tiles) for y, (low, _) in enumerate(tiles) if x <= y and low - high <= radius]
-    pairs = spark.createDataFrame(
-        [(k, t) for k, pair in enumerate(met) for t in dict.fromkeys(pair)], "pair int, tile int"
-    )
-
+    pairs = pair_rows(spark, met)
     run = by_pair(lambda rows: _links(rows, parts, radius))
     return tile_pairs(durable(blobs), pairs).mapInArrow(run, "a long, b long")
 

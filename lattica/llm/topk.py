@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_pair, durable, tile_pairs
+from .common import by_pair, durable, pair_rows, tile_pairs
 from .embed_dedup import valid
 
 #: Entries of each list that are read first; every further step reads twice as many.
@@ -136,7 +136,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, tile_rows: int
         return pa.table({"tile": t.column("tile").slice(0, 1), "asks": t.column("asks").slice(0, 1), "ids": [ids.tobytes()], "rows": [x.tobytes()]})
 
     blobs = durable(tiled.groupBy("tile").applyInArrow(blob, "tile int, asks boolean, ids binary, rows binary"))
-    pairs = spark.createDataFrame([(p, t) for p, pair in enumerate(met) for t in pair], "pair int, tile int")
+    pairs = pair_rows(spark, met)
     found = tile_pairs(blobs, pairs).mapInArrow(by_pair(lambda tiles: _search(tiles, k)), "query_id long, id long, score long")
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
