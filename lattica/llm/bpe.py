@@ -27,6 +27,7 @@ class Automaton:
     longer follow a, and from wherever an arc a leaves, an arc c leaves to the state that b led
     to. All arcs of a label end in one state at any time, so a state is known by its label.
 
+    A merge whose arc b isn't there makes no arc.
     A state is kept as what its gadget did: the state it copies, the one arc taken away, and the
     time; and a label as the gadget that made it. Whether a state has an arc is then found
     by going back in time: an arc made after the state is there as the arc of its left part is,
@@ -42,7 +43,11 @@ class Automaton:
         self.copied, self.without, self.time = [-1], [-1], [-1]  # by state
         self.left, self.right, self.made = [-1] * n, [-1] * n, [-1] * n  # by label
         self.gadget: dict[tuple[int, int], int] = {}
+        self.table: dict[tuple[int, int], bool] = {}
+        unused = set()  # labels of merges that never apply, as earlier ones keep their parts apart
         for k, (a, b) in enumerate(merges):
+            if a in unused or b in unused or not self.follows(a, b):
+                unused.add(n + k)
             after = self.state[b]
             self.copied.append(self.state[a])
             self.without.append(b)
@@ -53,10 +58,14 @@ class Automaton:
             self.left.append(a)
             self.right.append(b)
             self.made.append(k)
-            self.gadget[a, b] = k
+            if n + k not in unused:
+                self.gadget[a, b] = k
+            self.table.clear()
         self.trie: dict[tuple[int, int], int] = {}
         self.ends: list[int] = [-1]  # label spelt by the path to each node of the trie
         for label, spelling in enumerate(self.spelling):
+            if label in unused:
+                continue
             node = 0
             for symbol in spelling:
                 to = self.trie.get((node, symbol))
@@ -65,7 +74,7 @@ class Automaton:
                     self.ends.append(-1)
                 node = to
             self.ends[node] = label
-        self.table: dict[tuple[int, int], bool] = {}
+        self.unused = unused
 
     def has_arc(self, state: int, label: int) -> bool:
         """Whether an arc leaves the state, by the gadgets alone, one by one."""
