@@ -651,3 +651,67 @@ def volume_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def slice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actions.slices(to_bricks(large_mask(spark, sf_dir), LARGE), (8, 8, 8), (8, 8, 8))
+
+
+# Further functions of the library.
+
+
+@query(f"WITH {PT}, s AS (SELECT avg(4 * pi() * r * r) AS a, avg(4 / 3::DOUBLE * pi() * r * r * r) AS v FROM pt) SELECT round((3 / (4 * pi())) ** (1 / 3::DOUBLE) * a / v ** (2 / 3::DOUBLE), 6) AS factor FROM s")
+def shape_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = particles.sphere_sums(part_spheres(spark, sf_dir)).select((F.col("surface") / F.col("n")).alias("a"), (F.col("volume") / F.col("n")).alias("v"))
+    return rounded(sums.select(surface.shape_factor(F.col("a"), F.col("v")).alias("factor")), "factor")
+
+
+_FACES = ", ".join(f"({k}, '{n}')" for k, n in enumerate(segment.DIRECTIONS))
+
+
+@query(f"WITH RECURSIVE {CCL}, d(dir_id, name) AS (VALUES {_FACES}) SELECT volume_id, label, dir_id, CASE dir_id WHEN 0 THEN x_pos WHEN 1 THEN x_neg WHEN 2 THEN y_pos WHEN 3 THEN y_neg WHEN 4 THEN z_pos WHEN 5 THEN z_neg ELSE dir_none END AS touches FROM allfaces, d")
+def face_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.face_rows(segment.label_faces(_labels(spark, sf_dir), SMALL))
+
+
+@query(f"WITH RECURSIVE {CCL} SELECT c.volume_id, c.x, c.y, c.z, (CASE WHEN c.label IN (1, 3) THEN 255 ELSE 0 END)::INT AS v FROM ccl c")
+def selected_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _labels(spark, sf_dir)
+    return segment.selected_mask(labels, labels.where("label IN (1, 3)"))
+
+
+@query("SELECT event_id, round(CASE WHEN t < 0 THEN 0 WHEN t > 1 THEN 1 ELSE t * t * (3 - 2 * t) END, 6) AS smooth, round(value - floor(value), 6) AS part, (value::BIGINT * 0 + (event_id + 6) // 7)::BIGINT AS sevenths FROM (SELECT *, (value - 10) / 80.0::DOUBLE AS t FROM events)")
+def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    made = table(spark, sf_dir, "events").select("event_id", scalars.smoothstep(10.0, 90.0, v).alias("smooth"), scalars.fraction(v).alias("part"), scalars.round_up_div(F.col("event_id"), 7).cast("long").alias("sevenths"))
+    return rounded(made, "smooth", "part")
+
+
+@query("SELECT c_custkey, (CASE WHEN c_custkey % 3 = 0 THEN 1 WHEN c_custkey % 5 = 0 THEN 0 ELSE round(exp(-(c_custkey % 7) / 4.0::DOUBLE), 6) END)::DOUBLE AS p FROM customer")
+def acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    score = F.lit(1.0)
+    fresh = F.when(key % 3 == 0, 0.5).otherwise(1.0 + (key % 7) / 2.0)
+    heat = F.when(key % 5 == 0, 0.0).otherwise(2.0)
+    made = table(spark, sf_dir, "customer").select("c_custkey", scalars.acceptance(score, fresh, heat).alias("p"))
+    return rounded(made, "p")
+
+
+@query(f"WITH {PT} SELECT id, " + ", ".join(f"round({a}, 6) + 0.0 AS {a}" for a in XYZ) + " FROM (SELECT id, px AS x, py AS y, pz AS z FROM pt)")
+def inverse_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    move, turn, scale = (1.0, -2.0, 0.5), (0.5, 0.5, 0.5, 0.5), (2.0, 3.0, 0.25)
+    there = geometry.transform(scalars.vector("px", "py", "pz"), move, turn, scale)
+    moved = part_spheres(spark, sf_dir).select("id", *[c.alias(f"q{a}") for c, a in zip(there, XYZ)])
+    back = geometry.inverse(scalars.vector("qx", "qy", "qz"), move, turn, scale)
+    return rounded(moved.select("id", *[c.alias(a) for c, a in zip(back, XYZ)]), *XYZ)
+
+
+@query()
+def random_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reshape.random_crop(large_volume(spark, sf_dir), LARGE, (16, 16, 16), seed=7)
+
+
+@query()
+def mc_case_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surface.case_table(spark)
+
+
+@query()
+def poisson_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(particles.poisson_disk(0.15, 50, seed=1))], "id long, px double, py double, pz double")

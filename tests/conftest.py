@@ -44,7 +44,10 @@ def duck():
 def plain(value):
     """A value that compares across engines."""
     import numpy as np
+    import pandas as pd
 
+    if value is pd.NA or value is pd.NaT:
+        return None
     if isinstance(value, np.ndarray):
         return [plain(v) for v in value]
     if isinstance(value, (np.integer, bool, np.bool_)):
