@@ -24,21 +24,21 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     dropped; they are joined to the documents by host.
     """
     keys = F.array_distinct(F.transform(F.filter(F.split(text_col, "\n"), lambda x: F.length(F.trim(F.regexp_replace(x, r"\s+", " "))) > 0), lambda x: F.unhex(F.md5(x))))
-    pages = docs.select(F.col(host_col).alias("_host"), F.col(text_col).alias(text_col))
-    total = pages.groupBy("_host").agg(F.count("*").alias("_pages"))
-    counted = pages.select("_host", F.explode(keys).alias("_key")).groupBy("_host", "_key").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_pages)
-    total = total.withColumnRenamed("_host", "_of")
-    often = counted.join(total, F.col("_host").eqNullSafe(F.col("_of"))).where(F.col("_n") > F.col("_pages") * ratio)
-    drops = often.groupBy(F.col("_host").alias("_of")).agg(F.collect_set("_key").alias("_drops")).persist()
-    size = drops.agg(F.sum(F.size("_drops") * 32 + 64)).first()[0] or 0
+    pages = docs.select(F.col(host_col).alias("_lattica_host"), F.col(text_col).alias(text_col))
+    total = pages.groupBy("_lattica_host").agg(F.count("*").alias("_lattica_pages"))
+    counted = pages.select("_lattica_host", F.explode(keys).alias("_lattica_key")).groupBy("_lattica_host", "_lattica_key").agg(F.count("*").alias("_lattica_n")).where(F.col("_lattica_n") >= min_pages)
+    total = total.withColumnRenamed("_lattica_host", "_lattica_of")
+    often = counted.join(total, F.col("_lattica_host").eqNullSafe(F.col("_lattica_of"))).where(F.col("_lattica_n") > F.col("_lattica_pages") * ratio)
+    drops = often.groupBy(F.col("_lattica_host").alias("_lattica_of")).agg(F.collect_set("_lattica_key").alias("_lattica_drops")).persist()
+    size = drops.agg(F.sum(F.size("_lattica_drops") * 32 + 64)).first()[0] or 0
     if size <= BROADCAST:
         drops = F.broadcast(drops)  # its size has been checked
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*kept_columns).join(drops, F.col(host_col).eqNullSafe(F.col("_of")), "left")
+    joined = docs.select(*kept_columns).join(drops, F.col(host_col).eqNullSafe(F.col("_lattica_of")), "left")
     lines = F.split(text_col, "\n")
-    kept = F.when(F.col("_drops").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("_drops", F.unhex(F.md5(x)))))
-    out = joined.withColumn("_kept", kept)
-    n, m = F.coalesce(F.size(lines), F.lit(0)), F.coalesce(F.size("_kept"), F.lit(0))
-    texts = {text_col: F.when(F.col(text_col).isNotNull(), F.array_join("_kept", "\n"))}
+    kept = F.when(F.col("_lattica_drops").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("_lattica_drops", F.unhex(F.md5(x)))))
+    out = joined.withColumn("_lattica_kept", kept)
+    n, m = F.coalesce(F.size(lines), F.lit(0)), F.coalesce(F.size("_lattica_kept"), F.lit(0))
+    texts = {text_col: F.when(F.col(text_col).isNotNull(), F.array_join("_lattica_kept", "\n"))}
     counts = {"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(n), "n_dropped": F.when(F.col(text_col).isNull(), 0).otherwise(n - m)}
     return out.withColumns(counts | texts).select(*kept_columns, "n_lines", "n_dropped")

@@ -42,7 +42,7 @@ def corpus():
 def test_agrees_with_counting(spark, monkeypatch, ratio, least, bound):
     monkeypatch.setattr(line_dedup, "BROADCAST", bound)
     rows = corpus()
-    docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], SCHEMA).drop("_of")
+    docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], SCHEMA)
     got = line_dedup.drop_boilerplate(docs, ratio=ratio, min_pages=least).collect()
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got), key=repr) == brute(rows, ratio, least)
 
