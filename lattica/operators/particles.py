@@ -44,6 +44,18 @@ def largest_radius(n: int, seed: int, tolerance: float = 0.001, max_tries: int =
     return low
 
 
+def most_spheres(r: float, seed: int, max_tries: int = 5000, most: int = 10_000) -> int:
+    """How many spheres of a radius could be placed one after the other before max_tries rejections, at most `most`."""
+    draw, out, tries = np.random.default_rng(seed), np.empty((0, 3)), 0
+    while len(out) < most and tries < max_tries:
+        p = draw.uniform(r, 1 - r, 3)
+        if (((out - p) ** 2).sum(axis=1) < 4 * r * r).any():
+            tries += 1
+        else:
+            out = np.vstack([out, p])
+    return len(out)
+
+
 def generate_spheres(sets: DataFrame) -> DataFrame:
     """Spheres of each set (set_id, n, r_min, r_max, seed, within, max_tries); a set is placed by one task, in order."""
 

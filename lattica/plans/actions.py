@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import diffusion, sdf, segment, surface
 from ..operators.particles import particles_for
-from ..operators.reshape import window_origins
+from ..operators.reshape import pad, window_origins
 from ..volumes import BRICK, Dims, direction, per_batch, stacks
 
 #: Bytes that a task's solver may take.
@@ -134,6 +134,16 @@ def unreachable_segments(bricks: DataFrame) -> DataFrame:
     return per_batch(bricks, run, kinds).withColumn("ID", F.col("volume_id").cast("string")).drop("volume_id")
 
 
+def partition_meshes(labels: DataFrame, dims: Dims, axis: str) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """Meshes, as (vertices, faces), of the pores that touch the far end of an axis only, the near end only, and both; each padded by a voxel."""
+    parts = segment.face_partition(labels, dims, axis)
+    out = {}
+    for name in ("pos", "neg", "mid"):
+        mask = segment.selected_mask(labels, parts.where(F.col("part") == name))
+        out[name] = surface.mesh(pad(mask, dims, (1, 1, 1), (1, 1, 1)), tuple(d + 2 for d in dims))
+    return out
+
+
 def cut_windows(bricks: DataFrame, size: Dims, stride: Dims, begin: Dims = (0, 0, 0), end: Dims | None = None, inclusive_end: bool = False) -> DataFrame:
     """(volume_id, originx, originy, originz, dx, dy, dz, kind, data): each window of each volume as a brick.
 

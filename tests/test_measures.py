@@ -127,3 +127,12 @@ def test_actions(spark):
 def test_direction_flags():
     assert parse_directions("x-") == ["X_POS"] and parse_directions("yz") == ["Y_POS", "Z_POS"]
     assert parse_directions("neg") == ["X_NEG", "Y_NEG", "Z_NEG"] and parse_directions("?") == ["X_POS"]
+
+
+def test_partition_meshes(spark):
+    mask = np.full((4, 4, 4), 255)
+    mask[:, 1, :2] = 0  # touches the near end of x only, and both ends of z
+    mask[1, 3, :] = 0  # both ends of x
+    vox = to_voxels(segment.label_bricks(_bricks(spark, [mask]))).withColumnRenamed("v", "label")
+    made = actions.partition_meshes(vox.withColumn("label", vox.label.cast("long")), SMALL, "x")
+    assert made["pos"][0].count() == 0 and made["neg"][0].count() > 0 and made["neg"][1].count() > 0

@@ -90,3 +90,36 @@ def test_components(spark):
     got = {r.node: r.component for r in found.collect()}
     assert got == {a: root(a) for a in {v for e in edges if e[0] != e[1] for v in e}}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_meshes_as_arrays():
+    from lattica.functions import meshes
+
+    cube = np.array(list(itertools.product((0.0, 2.0), repeat=3)))
+    v, f = particles.convex_hull(cube)
+    faces = f.tolist()
+    assert meshes.area(v, faces) == pytest.approx(24.0)
+    assert meshes.bounds(meshes.normalized(v))[0].tolist() == [-0.5] * 3
+    assert np.allclose(np.abs(meshes.normals(v, faces)).sum(axis=1), 1)
+    turned = meshes.transformed(v, (1, 0, 0), (0, 0, 0.5**0.5, 0.5**0.5), (2, 1, 1))
+    assert np.allclose(meshes.bounds(turned), ([-1, 0, 0], [1, 4, 2]))
+    assert meshes.triangle_array(v, meshes.flipped(faces)).shape == (12, 3, 3)
+    with pytest.raises(ValueError):
+        meshes.triangle_array(v, [[0, 1, 2, 3]])
+    assert np.allclose(meshes.sphere_point(np.pi / 2, 0), [1, 0, 0])
+
+
+def test_most_spheres():
+    assert particles.most_spheres(0.45, 1, 50) >= 1 and particles.most_spheres(0.05, 1, most=20) == 20
+
+
+def test_options(tmp_path):
+    from lattica.plans import options
+
+    defaults = {"size": 32, "render": {"on": True, "scale": 1.0}}
+    path = str(tmp_path / "o.json")
+    options.save(path, {"render": {"scale": 2}})
+    assert options.load(path, defaults) == {"size": 32, "render": {"on": True, "scale": 2}}
+    for wrong in ({"sise": 1}, {"size": "big"}):
+        with pytest.raises(ValueError):
+            options.merged(defaults, wrong)
