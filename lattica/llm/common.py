@@ -22,6 +22,8 @@ def slices(parts: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.Rec
     for part in parts:
         for at in range(0, part.num_rows, rows):
             yield part.slice(at, rows)
+        del part
+        pa.default_memory_pool().release_unused()
 
 
 def batches(f, schema: str):

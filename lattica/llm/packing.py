@@ -38,10 +38,10 @@ def byte_bpe(path: str) -> Callable[[str], np.ndarray]:
     vocabulary = file["model"]["vocab"]
     merged = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in file["model"]["merges"]]
     added = {t["content"]: t["id"] for t in file["added_tokens"]}
-    whole = Tokenizer.from_file(path)
+    whole = functools.cache(lambda: Tokenizer.from_file(path))  # read only if it is asked
 
     def ask(text: str) -> np.ndarray:
-        return np.asarray(whole.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.asarray(whole().encode(text, add_special_tokens=False).ids, np.uint32)
 
     if merged != sorted(merged) or file["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
         return ask

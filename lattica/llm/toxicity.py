@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,6 +52,18 @@ class Model:
     keys: np.ndarray
     pairs: np.ndarray
 
+    def trimmed(self) -> Model:
+        """The same model with only the words that matter: all that aren't attested have one ratio, that of other words."""
+        rest = self.words[1]
+        told = np.unique(np.concatenate([np.flatnonzero(self.words != rest), self.keys // self.size, self.keys % self.size]))
+        told = told[told > 1]
+        names = {k: w for w, k in self.vocabulary.items()}
+        vocabulary = {names[int(k)]: j + 2 for j, k in enumerate(told)}
+        number = lambda ids: np.where(ids > 1, np.searchsorted(told, ids) + 2, ids)
+        size = len(told) + 2
+        keys = number(self.keys // self.size) * size + number(self.keys % self.size)
+        return Model(vocabulary, size, np.concatenate([self.words[:2], self.words[told]]), keys, self.pairs)
+
     def ratio(self, text: str | None) -> float:
         """The mean over the words; 0 without words."""
         ids = ids_of(text, self.vocabulary)
@@ -223,7 +236,8 @@ def train(rows: DataFrame) -> tuple[Model, Calibration]:
     discounts = [discount(total[3], total[4]), discount(total[5], total[6])]
     keys, pairs = pair_ratios(often.column("key").to_numpy(), n, size, left[:2], left[2:], np.array(total[:2]), total[2], discounts, p)
     bigrams.unpersist()
-    model = Model(vocabulary, size, ratios, keys, pairs)
+    known.unpersist()
+    model = Model(vocabulary, size, ratios, keys, pairs).trimmed()
     shared = spark.sparkContext.broadcast(model)
 
     def ratios_of(part: pa.RecordBatch) -> dict:
@@ -253,15 +267,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3)
     """
     model, calibration = train(_labelled(docs, labels, held_out))
     shared = docs.sparkSession.sparkContext.broadcast((model, calibration))
-    kept = [c for c in docs.columns if c not in ("held_out", "score", "predicted", "_text")]
+    kept = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
 
-    def run(parts):
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model, calibration = shared.value
         for part in parts:
-            score = calibration(np.array([model.ratio(t.as_py()) for t in part.column("_text")]))
-            columns = [part.column(c) for c in kept] + [pa.array(np.asarray(score, np.float64))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "score"])
+            yield pa.array(calibration(np.array([model.ratio(t.as_py()) for t in part], np.float64)), pa.float64())
 
-    schema = docs.select(*kept).withColumn("score", F.lit(0.0)).schema
-    scored = docs.select(*kept, F.col("text").alias("_text")).mapInArrow(run, schema)
+    # Only texts go to Python and only scores come back. Called once a row even if score is used twice.
+    score = F.arrow_udf(run, "double").asNondeterministic()
+    scored = docs.select(*kept).withColumn("score", score(F.col("text").cast("string")))
     return scored.withColumn("held_out", held_out("doc_id")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
