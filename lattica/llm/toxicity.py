@@ -21,11 +21,17 @@ WORD = regex.compile(r"\w+")
 WORDS, BIGRAMS = 1 << 18, 1 << 19
 #: Labels are joined by broadcast up to so many; beyond, both sides are shuffled.
 LABELS = 2_000_000
+#: Lengths of the beginnings of words that are counted, and the share of a beginning's words that
+#: one longer beginning may have: a beginning that all but always goes on alike is no stem.
+STEMS, ALIKE = range(3, 9), 0.9
+#: A stem begins so many different words in its class.
+KINDS = 4
 #: Bins of the histogram of ratios from which probabilities are read.
 BINS, REACH = 4096, 4.0
 #: An expression is attested if twice the log-likelihood ratio of its counts in the two classes
-#: against the classes' sizes is over twice the log of the number of expressions, plus this.
-MARGIN = 10.0
+#: against the classes' sizes is over twice the log of the number of expressions, plus this, and if
+#: it is so many times likelier in one class. All others are smoothed to the shared counts.
+MARGIN, STRONG = 10.0, 20
 
 
 def words(text: str | None) -> list[str]:
@@ -42,8 +48,9 @@ class Model:
     """log p(word | toxic) - log p(word | plain) by the word and the one before it.
 
     words: by word id. keys, pairs: for attested bigrams by left * size + right, sorted. Every
-    other bigram backs off to its word, and a word that isn't attested to the counts that the
-    classes share, where only the classes' backoff weights differ.
+    other bigram backs off to its word, a word that isn't attested to the longest attested stem
+    that it begins with, kept in the vocabulary with a star, and other words to the counts that
+    the classes share, where only the classes' backoff weights differ.
     """
 
     vocabulary: dict[str, int]
@@ -52,8 +59,20 @@ class Model:
     keys: np.ndarray
     pairs: np.ndarray
 
-    def trimmed(self) -> Model:
-        """The same model with only the words that matter: all that aren't attested have one ratio, that of other words."""
+    def __post_init__(self):
+        self.heads = {w[: STEMS[0]] for w in self.vocabulary if w.endswith("*")}
+
+    def stem(self, word: str) -> int:
+        """The id of the longest stem that the word begins with, or 1."""
+        if word[: STEMS[0]] in self.heads:
+            for n in reversed(STEMS):
+                found = self.vocabulary.get(word[:n] + "*")
+                if found and len(word) >= n:
+                    return found
+        return 1
+
+    def trimmed(self, stems: dict[str, float]) -> Model:
+        """The same model with stems and only the words that matter: all others have one ratio."""
         rest = self.words[1]
         told = np.unique(np.concatenate([np.flatnonzero(self.words != rest), self.keys // self.size, self.keys % self.size]))
         told = told[told > 1]
@@ -62,17 +81,25 @@ class Model:
         number = lambda ids: np.where(ids > 1, np.searchsorted(told, ids) + 2, ids)
         size = len(told) + 2
         keys = number(self.keys // self.size) * size + number(self.keys % self.size)
-        return Model(vocabulary, size, np.concatenate([self.words[:2], self.words[told]]), keys, self.pairs)
+        vocabulary |= {f"{stem}*": size + j for j, stem in enumerate(stems)}
+        ratios = np.concatenate([self.words[:2], self.words[told], np.array([*stems.values()], float)])
+        out = Model(vocabulary, size, ratios, keys, self.pairs)
+        for j, k in enumerate(told):  # those that only matter in bigrams
+            if self.words[k] == rest:
+                ratios[j + 2] = ratios[out.stem(names[int(k)])]
+        return out
 
     def ratio(self, text: str | None) -> float:
         """The mean over the words; 0 without words."""
-        ids = ids_of(text, self.vocabulary)
+        get, stem = self.vocabulary.get, self.stem
+        ids = np.array([0, *(get(w) or stem(w) for w in words(text))], np.int64)
         left, right = ids[:-1], ids[1:]
         if not len(left):
             return 0.0
         ratio = self.words[right]
         if len(self.keys):
-            keys = left * self.size + right
+            plain = np.where(ids < self.size, ids, 1)  # a stem is another word to a bigram
+            keys = plain[:-1] * self.size + plain[1:]
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
             ratio = np.where(self.keys[at] == keys, self.pairs[at], ratio)
         return float(ratio.mean())
@@ -90,13 +117,16 @@ def evidence(n: np.ndarray, totals: np.ndarray) -> np.ndarray:
         return 2 * np.where(n > 0, n * np.log(n / mean), 0.0).sum(axis=0)
 
 
-def word_ratios(before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_ratios(before: np.ndarray, totals: np.ndarray | None = None, kept: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """(ratios, (2, words) probabilities) from before: numbers of different words before each, by class.
 
+    totals: the sums over all words, if some aren't here. The first `kept` are never attested.
+
     An attested word has its class's Kneser-Ney estimate, which gives what the discounts leave to
     the shared continuation counts; the others have the shared estimate, scaled to what is left.
     """
-    before, totals = before.astype(float), before.sum(axis=1).astype(float)
+    before = before.astype(float)
+    totals = before.sum(axis=1) if totals is None else totals.astype(float)
     shared = (before.sum(axis=0) + 0.5) / (before.sum() + 0.5 * before.shape[1])
     if not totals.all():
         return np.zeros(before.shape[1]), np.tile(shared, (2, 1))
@@ -104,16 +134,40 @@ def word_ratios(before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     left = [d * (b > 0).sum() / t for d, b, t in zip(few, before, totals)]
     own = np.array([np.maximum(b - d, 0) / t + r * shared for b, d, t, r in zip(before, few, totals, left)])
     attested = evidence(before, totals) > 2 * math.log(max(2, before.shape[1])) + MARGIN
-    attested[:2] = False  # the start and words that aren't kept
+    attested &= np.abs(np.log(own[1]) - np.log(own[0])) > math.log(STRONG)
+    attested[:kept] = False  # the start and words that aren't kept
     rest = np.maximum(1e-3, 1 - own[:, attested].sum(axis=1)) / max(1e-3, 1 - shared[attested].sum())
     p = np.where(attested, own, shared * rest[:, None])
     return np.log(p[1]) - np.log(p[0]), p
 
 
+def stem_ratios(stems: list[str], n: np.ndarray, kinds: np.ndarray, totals: np.ndarray) -> dict[str, float]:
+    """Ratios of the stems among beginnings of words.
+
+    n, kinds: (2, beginnings) words, and different words, of each class that begin so; totals: the
+    words of each class. A stem is attested as a word is, is STRONG times likelier in one class,
+    begins at least KINDS different words there, and no single longer beginning has ALIKE of them.
+    """
+    if not stems or not totals.all():
+        return {}
+    ratios, _ = word_ratios(n, totals, 0)
+    side, places = (ratios > 0).astype(int), np.arange(len(stems))
+    told = evidence(n.astype(float), totals.astype(float)) > 2 * math.log(max(2, len(stems))) + MARGIN
+    told &= np.abs(ratios) > math.log(STRONG)
+    # The larger class has bursts of one word that the other never saw; its different words must tell, too.
+    told &= (totals[side] <= totals[1 - side]) | (evidence(kinds.astype(float), kinds.sum(axis=1).astype(float)) > 2 * math.log(max(2, len(stems))) + MARGIN)
+    most: Counter = Counter()
+    for k, stem in enumerate(stems):
+        for c in (0, 1):
+            most[stem[:-1], c] = max(most[stem[:-1], c], int(kinds[c, k]))
+    chosen = np.flatnonzero(told & (kinds[side, places] >= KINDS))
+    return {stems[k]: float(ratios[k]) for k in chosen if most[stems[k], side[k]] < ALIKE * kinds[side[k], k]}
+
+
 def pair_ratios(keys: np.ndarray, n: np.ndarray, size: int, follow: np.ndarray, types: np.ndarray, totals: np.ndarray, kinds: int, few: list[float], p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys and ratios of the attested bigrams: Kneser-Ney estimates that back off to the class's words.
 
-    n: (2, bigrams) counts; follow, types: (2, words) sums and numbers of the bigrams that begin so;
+    n: (2, bigrams) numbers of different words before each; follow, types: (2, words) sums and numbers of the bigrams that begin so;
     totals, kinds: the sums of all bigrams by class, and their number.
     """
     order = np.argsort(keys)
@@ -125,7 +179,9 @@ def pair_ratios(keys: np.ndarray, n: np.ndarray, size: int, follow: np.ndarray,
     chosen = (told > 2 * math.log(max(2, kinds)) + MARGIN) & (ahead > 0).all(axis=0)
     keys, n, left, right, ahead = keys[chosen], n[:, chosen], left[chosen], right[chosen], ahead[:, chosen]
     own = [(np.maximum(n[c] - few[c], 0) + few[c] * types[c][left] * p[c][right]) / ahead[c] for c in (0, 1)]
-    return keys, np.log(np.maximum(own[1], 1e-12)) - np.log(np.maximum(own[0], 1e-12))
+    ratios = np.log(np.maximum(own[1], 1e-12)) - np.log(np.maximum(own[0], 1e-12))
+    strong = np.abs(ratios) > math.log(STRONG)
+    return keys[strong], ratios[strong]
 
 
 def _within(n: np.ndarray, expected: np.ndarray) -> np.ndarray:
@@ -149,7 +205,7 @@ def rising(share: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Calibration:
-    """Probability of label 1 by ratio, linear between points."""
+    """Probability of label 1 by ratio: level over each block of the rising fit, linear between blocks."""
 
     at: np.ndarray
     share: np.ndarray
@@ -163,10 +219,11 @@ class Calibration:
         n, ones = n[order].astype(float), ones[order].astype(float)
         share = rising(ones / n, n)
         starts = np.flatnonzero(np.r_[True, share[1:] != share[:-1]])
+        stops = np.append(starts[1:], len(share)) - 1
         weights = np.add.reduceat(n, starts)
-        middle = np.add.reduceat(centre * n, starts) / weights
         level = (share[starts] * weights + 0.01) / (weights + 0.02)
-        return cls(np.r_[-REACH, middle, REACH], np.r_[level[0] / 2, level, (1 + level[-1]) / 2])
+        at, levels = np.column_stack([centre[starts], centre[stops]]).ravel(), np.repeat(level, 2)
+        return cls(np.r_[-REACH, at, REACH], np.r_[level[0] / 2, levels, (1 + level[-1]) / 2])
 
     def __call__(self, ratio: np.ndarray) -> np.ndarray:
         return np.interp(ratio, self.at, self.share)
@@ -200,24 +257,36 @@ def train(rows: DataFrame) -> tuple[Model, Calibration]:
     least = [max(2.0, (sums[c] or 0) / WORDS) for c in ("plain", "toxic")]
     kept = counted.where((F.col("plain") >= least[0]) | (F.col("toxic") >= least[1])).select("word")
     vocabulary = {w: k + 2 for k, w in enumerate(sorted(kept.toArrow().column(0).to_pylist()))}
+    lengths = F.expr(f"sequence({STEMS[0]}, least({STEMS[-1]}, length(word)))")
+    begin = F.explode(F.transform(lengths, lambda k: F.substring(F.col("word"), F.lit(1), k))).alias("stem")
+    begun = counted.where(F.length("word") >= STEMS[0]).select(begin, "plain", "toxic")
+    kinds = [F.sum((F.col(c) > 0).cast("long")) for c in ("plain", "toxic")]
+    begun = begun.groupBy("stem").agg(F.sum("plain").alias("n0"), F.sum("toxic").alias("n1"), kinds[0].alias("k0"), kinds[1].alias("k1")).persist()
+    tokens = np.array([sums["plain"] or 0, sums["toxic"] or 0])
+    common = begun.where((F.col("n0") >= max(4.0, least[0])) | (F.col("n1") >= max(4.0, least[1]))).toArrow()
+    columns = [common.column(c).to_numpy() for c in ("n0", "n1", "k0", "k1")]
+    stems = stem_ratios(common.column("stem").to_pylist(), np.array(columns[:2]), np.array(columns[2:]), tokens)
+    begun.unpersist()
     counted.unpersist()
     size = len(vocabulary) + 2
     known = spark.sparkContext.broadcast(vocabulary)
 
-    def count_bigrams(part: pa.RecordBatch) -> dict:
-        """In how many texts of each class each bigram is."""
+    def trigrams(part: pa.RecordBatch) -> dict:
+        """Which runs of three words each class has."""
         out: tuple[list, list, list] = ([], [], [])
         label = np.asarray(part.column(1).to_pylist())
         for side in (0, 1):
-            texts = (ids_of(part.column(0)[int(k)].as_py(), known.value) for k in np.flatnonzero((label == 1) == side))
-            keys = [np.unique(ids[:-1] * size + ids[1:]) for ids in texts]
-            keys, n = np.unique(np.concatenate(keys) if keys else np.empty(0, np.int64), return_counts=True)
-            for column, values in zip(out, (keys, n * (1 - side), n * side)):
+            texts = [ids_of(part.column(0)[int(k)].as_py(), known.value) for k in np.flatnonzero((label == 1) == side)]
+            keys = [(np.append(0, ids[:-2]) * size + ids[:-1]) * size + ids[1:] for ids in texts if len(ids) > 1]
+            keys = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.int64)
+            for column, values in zip(out, (keys, np.full(len(keys), 1 - side), np.full(len(keys), side))):
                 column.append(values)
         return dict(zip(("key", "n0", "n1"), map(np.concatenate, out)))
 
-    schema = "key long, n0 long, n1 long"
-    bigrams = rows.mapInArrow(batches(count_bigrams, schema), schema).groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).persist()
+    # A bigram counts once for each different word before it, so copies of a text add nothing.
+    schema = "key long, n0 int, n1 int"
+    seen = rows.mapInArrow(batches(trigrams, schema), schema).groupBy("key").agg(F.max("n0").alias("n0"), F.max("n1").alias("n1"))
+    bigrams = seen.groupBy((F.col("key") % (size * size)).alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).persist()
     kinds = [F.sum((F.col(c) > 0).cast("long")) for c in ("n0", "n1")]
     few = [F.sum((F.col(c) == k).cast("long")) for c in ("n0", "n1") for k in (1, 2)]
     total = [x or 0 for x in bigrams.agg(F.sum("n0"), F.sum("n1"), F.count("*"), *few).first()]
@@ -237,7 +306,7 @@ def train(rows: DataFrame) -> tuple[Model, Calibration]:
     keys, pairs = pair_ratios(often.column("key").to_numpy(), n, size, left[:2], left[2:], np.array(total[:2]), total[2], discounts, p)
     bigrams.unpersist()
     known.unpersist()
-    model = Model(vocabulary, size, ratios, keys, pairs).trimmed()
+    model = Model(vocabulary, size, ratios, keys, pairs).trimmed(stems)
     shared = spark.sparkContext.broadcast(model)
 
     def ratios_of(part: pa.RecordBatch) -> dict:
