@@ -16,6 +16,8 @@ from .common import batches, by_pair, connected_components, durable, pair_rows,
 CHUNK = 1 << 16
 #: Pairs compared at a time.
 PAIRS = 1 << 21
+#: Ids of dropped documents are broadcast up to so many; beyond, documents and ids are shuffled.
+DROPPED = 4_000_000
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -113,7 +115,7 @@ def _links(tiles: list[dict], parts: int, radius: int) -> pa.Table:
     return pa.table({"a": ids[order][label[moved]], "b": ids[order][moved]})
 
 
-def simhash_links(prints: DataFrame, radius: int, tile_rows: int = 8192, max_tiles: int = 256) -> DataFrame:
+def simhash_links(prints: DataFrame, radius: int, tile_rows: int = 16384, max_tiles: int = 256) -> DataFrame:
     """Edges (a, b) between ids whose fingerprints differ by at most radius bits.
 
     prints: (id, f0, ...) with distinct fingerprints. The edges are a spanning forest of the
@@ -161,7 +163,7 @@ def _blob(table: pa.Table, cols: list[str]) -> pa.Table:
     return pa.table({"tile": table.column("tile").slice(0, 1), "rows": pa.array([rows.tobytes()], pa.binary())})
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, parts: int = 1, id_col: str = "doc_id", text_col: str = "text", tile_rows: int = 8192) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, parts: int = 1, id_col: str = "doc_id", text_col: str = "text", tile_rows: int = 16384) -> DataFrame:
     """(id, f0, ..., component): component is the smallest id reachable over links, its own included.
 
     Equal fingerprints are one node, so a group of copies of any size costs one row in the
@@ -192,6 +194,9 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 26, parts: int = 2,
     in id and text one does.
     """
     found = durable(near_duplicates(docs, words, radius, parts, id_col, text_col).select(F.col("id").alias(id_col), "component"))
-    out = docs.join(found.where(F.col("component") != F.col(id_col)).select(id_col).distinct(), id_col, "left_anti").select(*docs.columns)
+    dropped = durable(found.where(F.col("component") != F.col(id_col)).select(id_col).distinct())
+    if dropped.count() <= DROPPED:
+        dropped = F.broadcast(dropped)  # checked just above
+    out = docs.join(dropped, id_col, "left_anti").select(*docs.columns)
     repeated = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
     return out if repeated.isEmpty() else out.dropDuplicates([id_col, text_col])
