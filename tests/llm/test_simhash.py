@@ -90,7 +90,9 @@ def test_edge_cases(spark):
     assert sorted(str(r.doc_id) for r in kept) == ["3", "None", "None"]
 
 
-def test_keep_one_by_similarity(spark):
+@pytest.mark.parametrize("bound", [0, 100])
+def test_keep_one_by_similarity(spark, monkeypatch, bound):
+    monkeypatch.setattr(simhash, "DROPPED", bound)
     draw = np.random.default_rng(4)
     words = [f"w{k}" for k in draw.integers(0, 5000, 400)]
     near = words.copy()
