@@ -66,3 +66,23 @@ def test_word_probabilities_sum_to_one():
     before = np.array([[0, 50, 1, 2, 400, 0, 3], [0, 40, 0, 2, 0, 300, 2]])
     _, p = toxicity.word_ratios(before)
     assert np.allclose(p.sum(axis=1), 1, atol=0.02)
+
+
+def test_stems():
+    names = ["grumo", "grumoa", "grumob", "grumoc", "grumod", "the", "them", "then", "once"]
+    n = np.array([[0, 0, 0, 0, 0, 900, 300, 300, 0], [200, 50, 50, 50, 50, 90, 30, 30, 200]])
+    kinds = np.array([[0, 0, 0, 0, 0, 9, 1, 1, 0], [5, 1, 1, 1, 1, 9, 1, 1, 1]])
+    assert set(toxicity.stem_ratios(names, n, kinds, np.array([90_000, 10_000]))) == {"grumo"}
+    assert toxicity.stem_ratios([], n[:, :0], kinds[:, :0], np.array([1, 1])) == {}
+    model = toxicity.Model({"bad": 2, "grumo*": 3}, 3, np.array([0.0, -0.1, 5.0, 7.0]), np.empty(0, np.int64), np.empty(0))
+    assert model.ratio("bad grumox grum word") == pytest.approx((5 + 7 - 0.1 - 0.1) / 4)
+    assert model.ratio("") == 0.0
+
+
+def test_pairs_need_more_than_their_words():
+    size, words = 200, np.array([[10, 0, *[400] * 198], [10, 0, *[40] * 198]])
+    _, p = toxicity.word_ratios(words)
+    keys = np.array([2 * size + 3, 4 * size + 5, 2 * size + 5])
+    n = np.array([[2, 200, 0], [60, 20, 2]])
+    got, ratios = toxicity.pair_ratios(keys, n, size, words * 3, words, np.array([200_000, 20_000]), 1000, [0.75, 0.75], p)
+    assert got.tolist() == [2 * size + 3] and ratios[0] > np.log(20)
