@@ -66,18 +66,23 @@ def cut(n: int, room: int) -> list[int]:
     return ([n % room] if n % room else []) + [room] * (n // room)
 
 
-def pieces(docs: DataFrame, path: str, room: int, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids) for each piece of each document's ids followed by `end`."""
-    schema = "doc_id long, piece int, start long, length long, ids binary"
+def pieces(docs: DataFrame, path: str, room: int, end: int = 0, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids) for each piece of each document's ids followed by `end`.
+
+    digest: ids_crc32, the checksum of the ids as little-endian 32-bit numbers, in place of the ids.
+    """
+    name = "ids_crc32" if digest else "ids"
+    schema = f"doc_id long, piece int, start long, length long, {name} {'long' if digest else 'binary'}"
 
     def run(part: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids")}
+        out: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", name)}
         encode = byte_bpe(path)
         for doc, text in zip(part.column(0).to_pylist(), part.column(1)):
             ids = np.append(encode(text.as_py() or ""), end).astype("<u4")
             start = 0
             for k, n in enumerate(cut(len(ids), room)):
-                for c, v in zip(out, (doc, k, start, n, ids[start : start + n].tobytes())):
+                content = ids[start : start + n].tobytes()
+                for c, v in zip(out, (doc, k, start, n, zlib.crc32(content) if digest else content)):
                     out[c].append(v)
                 start += n
         return out
@@ -255,14 +260,7 @@ def pack(docs: DataFrame, path: str, room: int = 2048, end: int = 0, id_col: str
     and has the one id `end`. A repeated id has the pieces of each of its rows. A null id is kept.
     Other columns are ignored. Without documents the result is empty.
     """
-    made = pieces(docs, path, room, end, id_col, text_col)
-
-    def digest(part: pa.RecordBatch) -> dict:
-        crc = [zlib.crc32(b.as_buffer()) for b in part.column(4)]
-        return {c: part.column(c) for c in ("doc_id", "piece", "start", "length")} | {"ids_crc32": crc}
-
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return place(made.mapInArrow(batches(digest, schema), schema), room)
+    return place(pieces(docs, path, room, end, id_col, text_col, digest=True), room)
 
 
 def sequences(docs: DataFrame, path: str, room: int = 2048, end: int = 0) -> DataFrame:
