@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, by_pair, connected_components, durable, pair_rows, roots, tile_pairs
+from .common import batches, by_pair, connected_components, durable, pair_rows, roots, shuffle_partitions, slices, tile_pairs
 
 #: Shingles whose hashes are summed at a time, so that a very long text needs no more memory.
 CHUNK = 1 << 16
@@ -18,6 +19,10 @@ CHUNK = 1 << 16
 PAIRS = 1 << 21
 #: Ids of dropped documents are broadcast up to so many; beyond, documents and ids are shuffled.
 DROPPED = 4_000_000
+#: Members of candidate groups are broadcast up to so many; beyond, documents and members are shuffled.
+MEMBERS = 500_000
+#: Shingles verified in one group; those of a larger component are cut up.
+GROUP = 1 << 21
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -183,20 +188,252 @@ def hex_fingerprint(*cols: str):
     return F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in cols])
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 26, parts: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_set(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
+    """The XXH64 hashes of a text's distinct shingles, ascending; shingles are those of fingerprint, a text without words has none."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(tokens)
+    ends = list(itertools.accumulate(len(w) + 1 for w in tokens))
+    digest = xxhash.xxh64_intdigest
+    stops = ends[min(words, len(tokens)) - 1 :]
+    return np.unique(np.fromiter((digest(joined[s : e - 1], seed) for s, e in zip([0, *ends], stops)), np.uint64, len(stops)))
+
+
+def _sketch(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The fingerprint of a set of shingles, each counted once."""
+    n, ones = len(hashes), np.zeros((parts, 64), np.int64)
+    for at in range(0, n, CHUNK):
+        for k in range(parts):
+            h = hashes[at : at + CHUNK]
+            bits = (_mixed(h, k) if k else h).astype("<u8").view(np.uint8).reshape(-1, 8)
+            ones[k] += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<i8").ravel()
+
+
+def _set_key(hashes: np.ndarray) -> int:
+    """64 bits that stand for a set of shingles, signed."""
+    return xxhash.xxh64_intdigest(hashes.tobytes(), len(hashes)) - (1 << 63)
+
+
+def _smallest(least: float) -> int:
+    """The fewest shingles with which a set can have the similarity `least` to another."""
+    return math.ceil(least / (1 - least) - 1e-9)
+
+
+def shingle_sets(docs: DataFrame, words: int, parts: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """(id, s, n, f0, ...): the key and the number of a text's distinct shingles, and their fingerprint where it can be needed."""
+    schema = "id long, s long, n int, " + ", ".join(f"f{k} long" for k in range(parts))
+    few = _smallest(least)
+
+    def run(part: pa.RecordBatch) -> dict:
+        keys, sizes, prints = [], [], np.zeros((part.num_rows, parts), np.int64)
+        for k, text in enumerate(part.column(1)):
+            found = shingle_set(text.as_py(), words)
+            keys.append(_set_key(found))
+            sizes.append(len(found))
+            if len(found) >= few:
+                prints[k] = _sketch(found, parts)
+        return {"id": part.column(0), "s": keys, "n": sizes} | {f"f{k}": prints[:, k] for k in range(parts)}
+
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(batches(run, schema), schema)
+
+
+def _candidates(tiles: list[dict], parts: int, radius: int, least: float) -> pa.Table:
+    """Edges (a, b) of a spanning forest of the candidate pairs between two tiles, or within one.
+
+    The first half of the parts is compared for all pairs whose sizes allow `least`, the other for those within the radius.
+    """
+    both = [np.frombuffer(t["rows"], "<i8").reshape(-1, parts + 2) for t in tiles]
+    both = [rows[np.argsort(rows[:, 1], kind="stable")] for rows in both]
+    a, b, same = both[0], both[-1], len(both) == 1
+    left, right = (np.ascontiguousarray(x[:, 2:]).view(np.uint64) for x in (a, b))
+    ids = np.concatenate([x[:, 0] for x in both])
+    shift, label, half = 0 if same else len(a), None, parts // 2
+    step = max(1, PAIRS // max(1, len(b)))
+    for at in range(0, len(a), step):
+        sizes = a[at : at + step, 1]
+        low = np.searchsorted(b[:, 1], math.ceil(sizes[0] * least - 1e-6))
+        low = max(low, at) if same else low
+        high = np.searchsorted(b[:, 1], math.floor(sizes[-1] / least + 1e-6), side="right")
+        if low >= high:
+            continue
+        bits = np.zeros((len(sizes), high - low), np.uint16)
+        for k in range(half):
+            bits += np.bitwise_count(left[at : at + step, None, k] ^ right[None, low:high, k])
+        i, j = np.nonzero(bits <= radius)
+        i, j = i + at, j + low
+        keep = np.bitwise_count(left[i, half:] ^ right[j, half:]).sum(axis=1) <= radius
+        keep &= (np.minimum(a[i, 1], b[j, 1]) >= least * np.maximum(a[i, 1], b[j, 1]) - 1e-6) & ((i != j) if same else True)
+        if keep.any():
+            label = roots(len(ids), i[keep], j[keep] + shift, label)
+    if label is None:
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    moved = np.flatnonzero(label != np.arange(len(ids)))
+    return pa.table({"a": ids[label[moved]], "b": ids[moved]})
+
+
+def candidate_links(nodes: DataFrame, radius: int, least: float, tile_rows: int = 16384, max_tiles: int = 256) -> DataFrame:
+    """Edges (a, b) between keys of sets that may have the similarity `least`: a spanning forest for each pair of tiles.
+
+    nodes: (s, n, f0, ...). A tile holds sets of about one size; tiles, and rows within, whose
+    sizes differ too much are not compared. The driver sees a count for each twentieth of size.
+    """
+    spark = nodes.sparkSession
+    cols = [c for c in nodes.columns if c.startswith("f")]
+    nodes = nodes.withColumn("step", F.floor(F.log(F.col("n").cast("double")) / math.log(1.05)).cast("int"))
+    counts = {r["step"]: r for r in nodes.groupBy("step").agg(F.count("*").alias("rows"), F.min("n").alias("low"), F.max("n").alias("high")).collect()}
+    if not counts:
+        return spark.createDataFrame([], "a long, b long")
+    tile_rows = max(tile_rows, -(-sum(r["rows"] for r in counts.values()) // max_tiles))
+    first, chunks, tiles, room = {}, {}, [], 0
+    for step, r in sorted(counts.items()):
+        if r["rows"] <= room:
+            first[step], chunks[step] = len(tiles) - 1, 1
+            tiles[-1] = (tiles[-1][0], r["high"])
+            room -= r["rows"]
+            continue
+        first[step], chunks[step] = len(tiles), -(-r["rows"] // tile_rows)
+        tiles += [(r["low"], r["high"])] * chunks[step]
+        room = tile_rows - r["rows"] if chunks[step] == 1 else 0
+    base, width = (F.array(*[F.lit(of.get(k, 1)) for k in range(max(counts) + 1)]) for of in (first, chunks))
+    at = F.col("step") + 1
+    blobs = (
+        nodes.withColumn("tile", F.element_at(base, at) + F.pmod(F.xxhash64("s"), F.element_at(width, at)).cast("int"))
+        .select("tile", "s", "n", *cols)
+        .groupBy("tile")
+        .applyInArrow(lambda t: _blob(t, ["s", "n", *cols]), "tile int, rows binary")
+    )
+    met = [(x, y) for x, (_, high) in enumerate(tiles) for y, (low, _) in enumerate(tiles) if x <= y and high >= least * low - 1e-6]
+    run = by_pair(lambda rows: _candidates(rows, len(cols), radius, least))
+    return tile_pairs(durable(blobs), pair_rows(spark, met)).mapInArrow(run, "a long, b long")
+
+
+def alike(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """For each set the place of the first that it reaches over pairs of the exact Jaccard similarity `least`.
+
+    What has been reached is not compared again, so a group of mutual near copies is compared about once.
+    """
+    size = np.array([len(x) for x in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    flat, ends = flat.ravel(), np.cumsum(size)
+    mark, label = np.zeros(flat.max() + 1, bool), np.arange(len(sets))
+    todo, rest = label.copy(), flat
+    while len(todo):
+        queue, root = [todo[0]], todo[0]
+        todo, rest = todo[1:], rest[size[todo[0]] :]
+        while queue and len(todo):
+            at = queue.pop()
+            mine = flat[ends[at] - size[at] : ends[at]]
+            mark[mine] = True
+            shared = np.add.reduceat(mark[rest], np.cumsum(size[todo]) - size[todo], dtype=np.int64)
+            mark[mine] = False
+            near = shared * (1 + least) >= least * (size[todo] + size[at]) - 1e-6
+            if near.any():
+                label[todo[near]] = root
+                queue += todo[near].tolist()
+                rest = rest[np.repeat(~near, size[todo])]
+                todo = todo[~near]
+    return label
+
+
+def _verified(table: pa.Table, least: float) -> pa.Table:
+    """Edges (a, b) of a spanning forest of the sets (s, shingles) of each component that are alike."""
+    held: dict[int, dict[int, np.ndarray]] = {}
+    for c, s, shingles in zip(table.column("component").to_pylist(), table.column("s").to_pylist(), table.column("shingles")):
+        held.setdefault(c, {})[s] = np.frombuffer(shingles.as_buffer(), "<u8")
+    a, b = [], []
+    for sets in held.values():
+        keys = list(sets)
+        for k, root in enumerate(alike([sets[s] for s in keys], least)):
+            if k != root:
+                a.append(keys[root])
+                b.append(keys[k])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def verified_links(docs: DataFrame, members: DataFrame, words: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """Edges (a, b) between keys of sets that have the similarity `least`, out of the members (id, s, n, component) of candidate components.
+
+    A component of up to GROUP shingles is verified in one group; a larger one is cut into parts
+    that all meet each other. Only the members' texts are read again.
+    """
+    spark = docs.sparkSession
+    weights = members.groupBy("component").agg(F.sum("n").alias("n"))
+    large = {r["component"]: -(-r["n"] // GROUP) for r in weights.where(F.col("n") > GROUP).collect()}
+    total, count = members.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    base = max(4 * shuffle_partitions(spark), -(-2 * total // GROUP))
+    first, at = [], base
+    for c, chunks in large.items():
+        first.append((c, at, chunks))
+        at += chunks * chunks
+    members = members.join(F.broadcast(spark.createDataFrame(first, "component long, base long, chunks long")), "component", "left")
+    mine = F.pmod(F.xxhash64("s"), F.col("chunks"))
+    jobs = F.when(F.col("chunks").isNull(), F.array(F.pmod(F.xxhash64("component"), F.lit(base)))).otherwise(
+        F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda k: F.col("base") + F.least(k, mine) * F.col("chunks") + F.greatest(k, mine))
+    )
+    members = members.select("id", "s", "component", jobs.alias("jobs"))
+    if count <= MEMBERS:
+        members = F.broadcast(members)  # counted just above
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(members, "id")
+    schema = "s long, component long, jobs array<long>, shingles binary"
+
+    def run(part: pa.RecordBatch) -> dict:
+        sets = [shingle_set(t.as_py(), words) for t in part.column(0)]
+        keep = np.array([_set_key(x) == s.as_py() for x, s in zip(sets, part.column(1))], bool)
+        rows = part.filter(pa.array(keep))
+        return {"s": rows.column(1), "component": rows.column(2), "jobs": rows.column(3), "shingles": [x.astype("<u8").tobytes() for x, k in zip(sets, keep) if k]}
+
+    sets = texts.select("text", "s", "component", "jobs").mapInArrow(batches(run, schema), schema)
+    dealt = sets.select(F.explode("jobs").alias("job"), "s", "component", "shingles")
+    return dealt.groupBy("job").applyInArrow(lambda t: _verified(t, least), "a long, b long")
+
+
+def _keyed(docs: DataFrame, words: int, text_col: str) -> DataFrame:
+    """docs with the key _s of each text's set of shingles."""
+    schema = docs.select("*", F.lit(0).cast("long").alias("_s")).schema
+    at = docs.columns.index(text_col)
+
+    def run(parts):
+        for part in slices(parts):
+            keys = pa.array([_set_key(shingle_set(t.as_py(), words)) for t in part.column(at)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*part.columns, keys], names=[*part.schema.names, "_s"])
+
+    return docs.mapInArrow(run, schema)
+
+
+def keep_one(docs: DataFrame, words: int = 5, radius: int = 38, parts: int = 2, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """docs without all but one document, the one of the smallest id, of each group of near copies.
 
-    The fingerprint has 64 * parts bits. For texts whose word shingles have the Jaccard similarity
-    J, hence about the cosine 2J / (1 + J), each bit differs with the probability
-    acos(cosine) / pi: at J = 0.8 that is 19 of 128 bits, with a deviation of 4, and unrelated
-    texts differ in 64, with a deviation of 6. So the radius 26 finds 95 % of the pairs at 0.8 and
-    nearly all that are closer, and no unrelated ones. Rows with a null id all stay; of rows equal
-    in id and text one does.
+    Near copies are texts whose sets of distinct word shingles have the Jaccard similarity `least`,
+    and what is joined by chains of such pairs. Fingerprints of the sets only find candidates:
+    where the similarity is J, hence the cosine about 2J / (1 + J), each bit differs with the
+    probability acos(cosine) / pi, at J = 0.8 in 19 of 128 bits with a deviation of 4, unrelated
+    texts in 64 with one of 6. So the radius 38, met by two fingerprints of 64 * parts bits, loses
+    few pairs in a million (of sets of four and five, some in a thousand). Every link is then made
+    by the exact similarity, up to equal 64-bit hashes. Equal sets are one node, and those too
+    small for any other partner, as of an empty or short text, link in no other way.
+    Rows with a null id all stay; of rows with one id that are near copies one does.
     """
-    found = durable(near_duplicates(docs, words, radius, parts, id_col, text_col).select(F.col("id").alias(id_col), "component"))
-    dropped = durable(found.where(F.col("component") != F.col(id_col)).select(id_col).distinct())
-    if dropped.count() <= DROPPED:
-        dropped = F.broadcast(dropped)  # checked just above
-    out = docs.join(dropped, id_col, "left_anti").select(*docs.columns)
-    repeated = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
-    return out if repeated.isEmpty() else out.dropDuplicates([id_col, text_col])
+    prints = durable(shingle_sets(docs, words, 2 * parts, least, id_col, text_col)).where("id IS NOT NULL")
+    cols = [f"f{k}" for k in range(2 * parts)]
+    nodes = durable(prints.groupBy("s", "n", *cols).agg(F.min("id").alias("id"), F.count("*").alias("rows")))
+    candidates = connected_components(candidate_links(nodes.where(F.col("n") >= _smallest(least)).select("s", "n", *cols), radius, least))
+    members = durable(nodes.select("s", "n", "id").join(candidates.withColumnRenamed("node", "s"), "s"))
+    component = connected_components(durable(verified_links(docs, members, words, least, id_col, text_col)))
+    nodes = nodes.select("s", "id", "rows").join(component.withColumnRenamed("node", "s"), "s", "left").where("component IS NOT NULL OR rows > 1")
+    nodes = durable(nodes.select("s", "id", F.coalesce("component", "s").alias("component")))
+    kept = nodes.groupBy("component").agg(F.min(F.struct("id", "s")).alias("kept"))
+    nodes = nodes.join(kept, "component").select("s", "kept")
+    dropped = durable(prints.select("id", "s").join(nodes, "s").where(F.struct("id", "s") != F.col("kept")).select("id", "s").distinct())
+    few = dropped.count() <= DROPPED
+    repeated = durable(prints.groupBy("id").count().where("count > 1").select("id"))
+    gone = dropped.select(F.col("id").alias(id_col))
+    if repeated.isEmpty():
+        return docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti").select(*docs.columns)  # counted just above
+    gone = gone.unionByName(repeated.select(F.col("id").alias(id_col))).distinct()
+    out = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    more = _keyed(docs.join(repeated.select(F.col("id").alias(id_col)), id_col).select(*docs.columns), words, text_col)
+    more = more.join(dropped.select(F.col("id").alias(id_col), F.col("s").alias("_s")), [id_col, "_s"], "left_anti")
+    more = more.groupBy(id_col, "_s").agg(F.min_by(F.struct(*docs.columns), F.coalesce(text_col, F.lit(""))).alias("_row")).select("_row.*")
+    return out.unionByName(more)

@@ -100,3 +100,60 @@ def test_keep_one_by_similarity(spark, monkeypatch, bound):
     rows = [(5, " ".join(words)), (9, " ".join(near)), (11, " ".join(words)), (12, " ".join(draw.permutation(words))), (13, "short"), (14, "text")]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [5, 12, 13, 14]
+
+
+def brute_kept(rows, words=5, least=0.8):
+    """The smallest id of each group over pairs of exact similarity."""
+
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
+
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return sorted({find(i) for i in sets})
+
+
+def varied():
+    """Texts with partners at similarities from 0.5 to 1, and ones with a much-repeated word."""
+    draw = np.random.default_rng(7)
+    rows = []
+    for k in range(60):
+        words = [f"w{x}" for x in draw.integers(0, 4000, int(draw.integers(8, 300)))]
+        rows.append(" ".join(words))
+        for _ in range(3):
+            near = words.copy()
+            for at in draw.integers(0, len(words), max(1, int(len(words) * draw.uniform(0, 0.06)))):
+                near[int(at)] = f"c{draw.integers(1000)}"
+            rows.append(" ".join(near))
+    rows += [" ".join(["again"] * 300 + [f"q{x}" for x in draw.integers(0, 4000, 80)]) for _ in range(6)]
+    return [(3 * k + 1, t) for k, t in enumerate(rows)]
+
+
+@pytest.mark.parametrize("group", [1 << 21, 300])
+def test_keep_one_is_by_exact_similarity(spark, monkeypatch, group):
+    monkeypatch.setattr(simhash, "GROUP", group)
+    rows = varied()
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == brute_kept(rows)
+
+
+def test_keep_one_leaves_texts_that_only_fingerprints_link(spark):
+    """One much-repeated line fills the fingerprint of the repeated shingles, at a Jaccard similarity under 0.1."""
+    draw = np.random.default_rng(3)
+    rows = [(k, "on and on and on it goes " * 200 + " ".join(f"w{x}" for x in draw.integers(0, 9000, 90))) for k in range(4)]
+    prints = [simhash.fingerprint(t, 5, 2) for _, t in rows]
+    assert sum((x ^ y).bit_count() for x, y in zip(prints[0], prints[1])) <= 26
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3]
