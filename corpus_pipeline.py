@@ -19,8 +19,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that are on over a fiftieth, and five, of their source's documents."""
-    cleaned = line_dedup.drop_boilerplate(docs, "source", ratio=0.02, min_pages=5)
+    """All documents, without lines that are on over a fiftieth, and five, of their source's different texts."""
+    cleaned = line_dedup.drop_boilerplate(docs, "source", ratio=0.02, min_pages=5, distinct_texts=True)
     return cleaned.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 

@@ -9,24 +9,28 @@ from pyspark.sql import functions as F
 BROADCAST = 32 << 20
 
 
-def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.02, min_pages: int = 5) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.02, min_pages: int = 5, distinct_texts: bool = False) -> DataFrame:
     """docs with boilerplate lines taken out of the text, plus n_lines and n_dropped.
 
     A line, as it stands between two line feeds, is boilerplate of a host if it is on more than
     `ratio` of the host's pages and on min_pages of them at least; a page counts once however
     often it repeats the line. Lines without anything but white space are kept and not counted.
-    Every row is a page, so repeated rows count each. All rows without a host are one host. A
+    Every row is a page, so repeated rows count each; with distinct_texts a host's pages of equal
+    text, or null, are one, so that copies do not make their own lines boilerplate. All rows without a host are one host. A
     null text stays null with no lines; a text may become empty, but no row goes. Columns named
     n_lines and n_dropped are replaced, all others are kept.
 
-    Only the lines' MD5 keys are shuffled, combined map-side by host and key, so a hot host or
+    Only the lines' MD5 keys are shuffled (with distinct_texts once more, a list for each text), combined map-side by host and key, so a hot host or
     line is a sum like any other. At most (mean number of lines) / ratio lines of a host can be
     dropped; they are joined to the documents by host.
     """
     keys = F.array_distinct(F.transform(F.filter(F.split(text_col, "\n"), lambda x: F.length(F.trim(F.regexp_replace(x, r"\s+", " "))) > 0), lambda x: F.unhex(F.md5(x))))
     pages = docs.select(F.col(host_col).alias("_lattica_host"), F.col(text_col).alias(text_col))
+    pages = pages.select("_lattica_host", F.md5(F.col(text_col).cast("binary")).alias("_lattica_text"), keys.alias("_lattica_keys"))
+    if distinct_texts:
+        pages = pages.groupBy("_lattica_host", F.unhex("_lattica_text").alias("_lattica_text")).agg(F.first("_lattica_keys").alias("_lattica_keys"))
     total = pages.groupBy("_lattica_host").agg(F.count("*").alias("_lattica_pages"))
-    counted = pages.select("_lattica_host", F.explode(keys).alias("_lattica_key")).groupBy("_lattica_host", "_lattica_key").agg(F.count("*").alias("_lattica_n")).where(F.col("_lattica_n") >= min_pages)
+    counted = pages.select("_lattica_host", F.explode("_lattica_keys").alias("_lattica_key")).groupBy("_lattica_host", "_lattica_key").agg(F.count("*").alias("_lattica_n")).where(F.col("_lattica_n") >= min_pages)
     total = total.withColumnRenamed("_lattica_host", "_lattica_of")
     often = counted.join(total, F.col("_lattica_host").eqNullSafe(F.col("_lattica_of"))).where(F.col("_lattica_n") > F.col("_lattica_pages") * ratio)
     drops = often.groupBy(F.col("_lattica_host").alias("_lattica_of")).agg(F.collect_set("_lattica_key").alias("_lattica_drops")).persist()

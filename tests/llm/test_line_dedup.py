@@ -49,3 +49,16 @@ def test_agrees_with_counting(spark, monkeypatch, ratio, least, bound):
 
 def test_no_documents(spark):
     assert line_dedup.drop_boilerplate(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_copies_do_not_make_their_lines_boilerplate(spark):
+    """A third of the rows are copies of one document; the pipeline's stage takes only the line of many texts."""
+    import corpus_pipeline
+
+    rows = [(k, f"menu\nonly {k}\nand {k}", "en", "a", 1) for k in range(40)] + [(100 + k, "first of all\nsecond", "en", "a", 1) for k in range(20)]
+    rows += [(200 + k, None, "en", "a", 1) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
+    assert got == {i: t and t.removeprefix("menu\n") for i, t, *_ in rows}
+    counted = line_dedup.drop_boilerplate(docs, distinct_texts=True, ratio=0.97, min_pages=40).collect()
+    assert sum(r.n_dropped for r in counted) == 0  # 40 of 42 different pages, the null one included
