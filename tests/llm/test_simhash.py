@@ -157,3 +157,13 @@ def test_keep_one_leaves_texts_that_only_fingerprints_link(spark):
     assert sum((x ^ y).bit_count() for x, y in zip(prints[0], prints[1])) <= 26
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3]
+
+
+def test_empty_text_links_only_with_empty_texts(spark):
+    """Of many six-word texts, whose fingerprints are often near zero, none goes for an empty text or another six words."""
+    draw = np.random.default_rng(6)
+    rows = [(1, ""), (2, " "), (3, None)] + [(10 + k, " ".join(f"w{x}" for x in draw.integers(0, 9000, 6))) for k in range(60)]
+    assert any(sum(x.bit_count() for x in simhash.fingerprint(t, 5, 2)) <= 26 for _, t in rows[3:])
+    rows += [(500, rows[5][1].upper()), (501, "one two"), (502, "one three")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, *range(10, 70), 501, 502]
