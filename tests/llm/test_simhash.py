@@ -167,3 +167,11 @@ def test_empty_text_links_only_with_empty_texts(spark):
     rows += [(500, rows[5][1].upper()), (501, "one two"), (502, "one three")]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [1, *range(10, 70), 501, 502]
+
+
+def test_keep_one_with_repeated_ids(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    near = b.replace("b59", "other")
+    rows = [(3, a), (5, a), (5, b), (7, near), (8, "x y"), (8, "X  y"), (None, a), (None, a)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(3, a), (5, b), (8, "X  y"), (None, a), (None, a)], key=repr)
