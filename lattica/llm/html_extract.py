@@ -36,8 +36,10 @@ STOP = frozenset(
     " al como con cuando del donde el ella ellos entre era eso esta este ha hasta hay la las lo los más me mi muy no nos o para pero por porque que se si"
     " sin sobre su sus también te tiene una uno unos ya".split()
 )
+# Parts of a name that say what an element goes with or is filed under, not what it is.
+BESIDES = frozenset("has no not with without hide category tag".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"\s+")
 
 
@@ -65,14 +67,21 @@ class Rules:
 def marked(attributes: str, article: bool = False) -> bool:
     """Whether a class, id or role names something beside the article, or the element is hidden.
 
-    A header or banner is only so outside of an article, which may have its own.
+    A header or banner is only so outside of an article, which may have its own. Attributes go by
+    their whole names; a class such as cookie-notice counts by its parts, has-sidebar or
+    no-comments does not count.
     """
     for name, *values in ATTRIBUTE.findall(attributes):
-        if name.lower() == "hidden":
-            return True
-        named = MARKS.intersection(re.split(r"[^a-z]+", "".join(values).lower()))
-        if named and not (article and named <= {"header", "banner"}):
+        name, value = name.lower(), "".join(values).lower()
+        if name == "hidden" and value.strip() != "false":
             return True
+        if name not in ("class", "id", "role"):
+            continue
+        for word in value.split():
+            parts = set(re.split(r"[^a-z]+", word))
+            named = MARKS & parts
+            if named and not BESIDES & parts and not (article and named <= {"header", "banner"}):
+                return True
     return False
 
 

@@ -37,3 +37,13 @@ def test_extract(spark):
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()
     assert [(r.page_id, r.text, r.n_chars) for r in sorted(got, key=lambda r: r.page_id)] == [(k, t, len(t)) for k, (_, t) in enumerate(PAGES.values())]
     assert extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+@pytest.mark.parametrize("attributes", ["style='overflow:hidden'", "aria-hidden='false'", "title='hidden gems'", "data-id=search", "class='content has-sidebar'", "id='no-comments'", "hidden='false'", "data-class=\"nav\""])
+def test_attributes_that_mark_nothing(attributes):
+    assert main_text(f"<div {attributes}><p>{LONG}</p></div>") == LONG.strip()
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "hidden=''", "HIDDEN=hidden", "class='a cookie-notice'", "id=comments", "ROLE=\"navigation\"", "data-x='y' class = sidebar"])
+def test_attributes_that_mark(attributes):
+    assert main_text(f"<div {attributes}><p>{LONG}</p></div>") == ""
