@@ -51,6 +51,7 @@ class Block:
     article: bool  # within an article or main element
     heading: bool
     verdict: bool | None = field(default=None)
+    linky: bool = False  # mostly of links
 
 
 @dataclass(frozen=True)
@@ -137,7 +138,7 @@ def blocks(page: str) -> list[Block]:
             _, outside, article = stack[-1] if stack else ("", False, False)
             inside = name in ("article", "main")
             # A header element within an article holds the article's own heading.
-            beside = (name in OUTSIDE and not (name == "header" and article)) or (name not in ("html", "body") and not inside and marked(attributes, article))
+            beside = (name in OUTSIDE and not (name == "header" and article)) or (name not in ("html", "body") and marked(attributes, article or inside))
             stack.append((name, outside or beside, (article or inside) and not beside))
         heading = bool(stack) and re.fullmatch(r"h[1-6]", stack[-1][0]) is not None
         links = 0
@@ -148,22 +149,21 @@ def blocks(page: str) -> list[Block]:
 def classify(found: list[Block], rules: Rules = Rules()) -> list[Block]:
     """Set each block's verdict: True if it belongs to the article.
 
-    First pass: a block beside the article, or mostly of links, is out. Within an article or main
-    element what is left is in. Elsewhere a block that is long, with many stop words, is in;
-    one of middling length with some stop words too; one without any is out; a short one and what
-    lies between is undecided. Second pass: an undecided block inherits from its nearest decided
+    First pass: a block beside the article, or mostly of links, is out. Of the others one that is
+    long, with many stop words, is in; one of middling length with some stop words too; one
+    without any is out; a short one and what lies between is undecided. Within article and main
+    elements all of them are in, unless more text is in by these rules outside of such elements
+    than there is within. Second pass: an undecided block inherits from its nearest decided
     neighbours, from the nearer of two, and at equal distance only if both are in; a heading
-    inherits from the next decided block after it. Pages that mark an article have no text beside it.
+    inherits from the next decided block after it. Neighbours are those that are within such
+    elements too, or outside too.
     """
-    marked_up = any(b.article and not b.outside for b in found)
     for b in found:
         density = b.linked / max(1, len(b.text))
         tokens = b.text.lower().split()
         stops = sum(w.strip(".,;:!?()\"'") in STOP for w in tokens) / len(tokens)
-        if b.outside or density > rules.links or (marked_up and not b.article):
+        if b.outside or density > rules.links:
             b.verdict = False
-        elif b.article:
-            b.verdict = True
         elif len(b.text) < rules.short:
             b.verdict = None
         elif stops >= rules.stop_high:
@@ -172,6 +172,18 @@ def classify(found: list[Block], rules: Rules = Rules()) -> list[Block]:
             b.verdict = True if len(b.text) >= rules.long else None
         else:
             b.verdict = False
+        b.linky = density > rules.links
+    voted = [b for b in found if b.article and not b.outside and not b.linky]
+    if sum(len(b.text) for b in voted) >= sum(len(b.text) for b in found if b.verdict and not b.article):
+        for b in voted:
+            b.verdict = True
+    for part in ([b for b in found if b.article], [b for b in found if not b.article]):
+        _inherit(part)
+    return found
+
+
+def _inherit(found: list[Block]) -> None:
+    """The second pass."""
     decided = [(k, b.verdict) for k, b in enumerate(found) if b.verdict is not None]
     k = 0
     for at, b in enumerate(found):
@@ -187,7 +199,6 @@ def classify(found: list[Block], rules: Rules = Rules()) -> list[Block]:
             else:
                 near = min((x for x in (before, after) if x), key=lambda x: abs(x[0] - at), default=None)
                 b.verdict = bool(near and near[1])
-    return found
 
 
 def main_text(page: str | None) -> str:

@@ -47,3 +47,12 @@ def test_attributes_that_mark_nothing(attributes):
 @pytest.mark.parametrize("attributes", ["hidden", "hidden=''", "HIDDEN=hidden", "class='a cookie-notice'", "id=comments", "ROLE=\"navigation\"", "data-x='y' class = sidebar"])
 def test_attributes_that_mark(attributes):
     assert main_text(f"<div {attributes}><p>{LONG}</p></div>") == ""
+
+
+def test_article_elements_are_a_vote():
+    body = f"<div><p>{LONG * 3}</p><p>Yes.</p><p>{LONG}</p></div>"
+    text = f"{LONG * 3}Yes. {LONG.strip()}"
+    assert main_text(f"{body}<article class='teaser'><p>{LONG}</p></article>") == text
+    assert main_text(f"{body}<article class='card'><p>More news.</p></article>") == text
+    assert main_text(f"<p>{LONG}</p><article><p>{LONG * 2}</p><p>Hm.</p></article><p>Tick tock.</p>") == f"{LONG * 3}Hm. Tick tock."
+    assert main_text(f"<div>Tick tock.</div><article><p>{LONG}</p><p>Hm.</p></article>") == f"{LONG}Hm."
