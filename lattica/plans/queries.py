@@ -551,6 +551,12 @@ def sphere_analytic_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("set_id", "n", F.round("surface", 6).alias("surface"), F.round("volume", 6).alias("volume"), F.round("tau", 4).alias("tau"))
 
 
+@query(f"WITH {PT}, s AS (SELECT {_SUMS} FROM pt) SELECT 0::BIGINT AS set_id, n, surface, volume, CASE WHEN volume < 1 THEN round(1 / sqrt(greatest(1 - volume, 1e-300)), 4) END AS tau FROM s")
+def sphere_analytic_tau_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = particles.sphere_sums(part_spheres(spark, sf_dir))
+    return made.select("set_id", "n", F.round("surface", 6).alias("surface"), F.round("volume", 6).alias("volume"), F.round("tau", 4).alias("tau"))
+
+
 @query(f"WITH {PT} SELECT 0::BIGINT AS set_id, a.id AS a, b.id AS b FROM pt a JOIN pt b ON a.id < b.id AND abs(a.px - b.px) < a.r + b.r AND (a.px - b.px) ** 2 + (a.py - b.py) ** 2 + (a.pz - b.pz) ** 2 < (a.r + b.r) ** 2")
 def sphere_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return particles.sphere_collisions(part_spheres(spark, sf_dir), 0.11)
@@ -577,6 +583,13 @@ def argmax_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return particles.largest_overlap(ends.groupBy("set_id", "id").agg(F.count("*").cast("double").alias("overlap")))
 
 
+@query(f"WITH {PT}, o AS (SELECT 0::BIGINT AS set_id, a.id, count(*)::DOUBLE AS overlap FROM pt a JOIN pt b ON a.id <> b.id AND {_BOX} GROUP BY a.id) SELECT set_id, id, overlap FROM o ORDER BY overlap DESC, id LIMIT 1")
+def argmax_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = particles.overlapping(particles.boxes(part_spheres(spark, sf_dir)), 0.11)
+    ends = pairs.select("set_id", F.explode(F.array("a", "b")).alias("id"))
+    return particles.largest_overlap(ends.groupBy("set_id", "id").agg(F.count("*").cast("double").alias("overlap")))
+
+
 @query("""WITH w AS (SELECT c_nationkey, c_custkey, sum(c_custkey % 7 + 1) OVER (PARTITION BY c_nationkey ORDER BY c_custkey % 7 + 1, c_custkey ROWS UNBOUNDED PRECEDING) / sum(c_custkey % 7 + 1) OVER (PARTITION BY c_nationkey)::DOUBLE AS share,
         row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey % 7 + 1, c_custkey) AS nth FROM customer),
     u AS (SELECT n_nationkey, k AS draw, ((n_nationkey * 31 + k * 17) % 97) / 97::DOUBLE AS u FROM nation, range(0, 3) t(k))

@@ -123,3 +123,19 @@ def test_options(tmp_path):
     for wrong in ({"sise": 1}, {"size": "big"}):
         with pytest.raises(ValueError):
             options.merged(defaults, wrong)
+
+
+@pytest.mark.parametrize("name", ["sphere_analytic_tau_whole", "argmax_overlap_whole"])
+def test_sphere_queries_cover_the_table(spark, name):
+    """On sf0.01, whose 2000 spheres fill over the unit cube; sf0.001 has only 200."""
+    import duckdb
+    from conftest import DATA, same
+
+    import lattica.plans.queries as q
+
+    folder = str(DATA).replace("sf0.001", "sf0.01")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM '{folder}/part.parquet'")
+    same(q.QUERIES[name](spark, folder).toPandas(), con.sql(q.ORACLE_SQL[name]).df())
+    if name == "sphere_analytic_tau_whole":
+        assert q.QUERIES[name](spark, folder).first().n == spark.read.parquet(f"{folder}/part.parquet").count()
