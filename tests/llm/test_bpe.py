@@ -90,3 +90,45 @@ def test_digests(spark, library):
         assert want in {tuple(r)[1:] for r in got if r.doc_id == doc}
     assert bpe.encode(spark.createDataFrame(rows, "doc_id long, text string, n_tokens int"), PATH).where("doc_id = 1").first().ids == library.encode(rows[0][1], add_special_tokens=False).ids
     assert bpe.digests(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_every_code_point_as_the_library(library):
+    points = [k for k in range(0x110000) if not 0xD800 <= k < 0xE000]
+    texts = [" ".join(f"a{chr(k)}b" for k in points[at : at + 256]) for at in range(0, len(points), 256)]
+    mine = bpe.load(PATH)
+    for text, theirs in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert mine.encode(text) == theirs.ids
+
+
+def test_marks_trade_places_as_in_the_library(library):
+    mine = bpe.load(PATH)
+    for text in ("經ᫍ̚ȩ", "á̕b", "q̴ᫍ", "Ạ̊"):
+        assert mine.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_rows_of_the_file_agree_with_gadgets():
+    automaton, draw = bpe.load(PATH).automaton, random.Random(3)
+    used = [k for k in range(len(automaton.spelling)) if k not in automaton.unused]
+    met = [(a, b) for a, b in zip(automaton.left, automaton.right) if a >= 0]
+    for last, label in [*draw.sample(met, 2000), *((draw.choice(used), draw.choice(used)) for _ in range(2000))]:
+        assert automaton.follows(last, label) == automaton.has_arc(automaton.state[last], label)
+
+
+def test_the_table_is_sent_without_its_states():
+    import pickle
+
+    mine = bpe.WordBPE(PATH)
+    before = mine.encode("the quick brown fox")
+    again = pickle.loads(pickle.dumps(mine))
+    assert len(again.automaton.sets) == 1 and not again.known
+    assert again.encode("the quick brown fox") == before
+
+
+def test_unknown_steps_are_refused(tmp_path):
+    import json
+
+    file = json.load(open(PATH))
+    for change in ({"decoder": {"type": "ByteLevel"}}, {"normalizer": {"type": "StripAccents"}}, {"pre_tokenizer": {"pretokenizers": []}}):
+        (tmp_path / "file.json").write_text(json.dumps(file | change))
+        with pytest.raises(ValueError):
+            bpe.WordBPE(str(tmp_path / "file.json"))
