@@ -14,8 +14,10 @@ from .common import batches, durable, shuffle_partitions
 
 #: Probes within each open interval and round.
 PROBES = 16
-#: Keys are 32 hexadecimal digits.
+#: Keys are 32 hexadecimal digits, the first half of the text.
 SPAN = 1 << 128
+#: Columns of its own while rows are dealt; no column of the input may bear these names.
+KEY, PART = "_lattica_key", "_lattica_part"
 
 
 def _key(n: int) -> bytes:
@@ -86,31 +88,54 @@ def splitters(keyed: DataFrame, wanted: dict[str, list[tuple[float, float]]], we
     return [s.found for _, s in searches]
 
 
-def shard(docs: DataFrame, shards: int = 16, tolerance: float = 1e-4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def whole_groups(keyed: DataFrame, borders: list[int], most: float) -> list[int]:
+    """The borders, each moved to the nearer edge of the group of equal texts that it cuts, if that moves at most the size `most`."""
+    if not borders:
+        return borders
+    half = 1 << 64
+    edges = [(b // half * half, min(SPAN - 1, b // half * half + half)) for b in borders]
+    text = lambda k: F.lit(_key(k).decode())
+    sums = []
+    for k, (b, (low, high)) in enumerate(zip(borders, edges)):
+        for side, first, stop in (("a", low, b), ("b", b, high)):
+            sums.append(F.coalesce(F.sum(F.when((F.col("key") >= text(first)) & (F.col("key") < text(stop)), F.col("size"))), F.lit(0)).alias(f"{side}{k}"))
+    got = keyed.agg(*sums).first()
+    out = []
+    for k, (b, (low, high)) in enumerate(zip(borders, edges)):
+        less, to = min((got[f"a{k}"], low), (got[f"b{k}"], high))
+        out.append(to if less <= most else b)
+    return out
+
+
+def shard(docs: DataFrame, shards: int = 16, tolerance: float = 1e-4, id_col: str = "doc_id", text_col: str = "text", group_tolerance: float = 0.05) -> DataFrame:
     """docs with size, shard and slot (these replace columns of the same names).
 
     size is the text's length in UTF-8 plus 1 (1 for a null text). Rows are sorted by a key of a
-    hash of the text and a hash of the id, so equal texts are neighbours and, but where a border
-    falls among them, share a shard. Shards are ranges of the key of nearly equal total size:
-    the borders are off by at most `tolerance` of a shard's size, or by half of the row that lies
-    on the border. slot numbers the rows of a shard from 0. Rows equal in both id and text have
+    hash of the text and a hash of the id, so equal texts are neighbours. Shards are ranges of the
+    key of nearly equal total size: the borders are off by at most `tolerance` of a shard's size,
+    or by half of the row that lies on the border. A border among equal texts is then moved to
+    the nearer end of their group, so that they share a shard, if that moves at most
+    `group_tolerance` of a shard's size; only a larger group, such as one that holds a third of
+    all bytes, is cut, as sizes could not be near equal otherwise. slot numbers the rows of a shard from 0. Rows equal in both id and text have
     one key and stay together. Null ids are one id. Without rows the result is empty.
 
     Borders are found on the keys and sizes alone. Further borders cut the shards into parts of
     like numbers of rows and bytes, one for each task, and the rows are exchanged once, by part.
     """
     spark = docs.sparkSession
-    kept = [c for c in docs.columns if c not in ("size", "shard", "slot", "_key", "_part")]
+    kept = [c for c in docs.columns if c not in ("size", "shard", "slot", KEY, PART)]
     digits = [F.lpad(F.lower(F.hex(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("")), F.col(c).isNull()))), 16, "0") for c in (text_col, id_col)]
     size = (F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)) + 1).cast("long")
-    rows = docs.select(*kept, F.concat(*digits).alias("_key"), size.alias("size"))
-    keyed = durable(rows.select(F.col("_key").alias("key"), "size"))
+    rows = docs.select(*kept, F.concat(*digits).alias(KEY), size.alias("size"))
+    keyed = durable(rows.select(F.col(KEY).alias("key"), "size"))
     parts = max(shards, shuffle_partitions(spark))
     means = keyed.agg(F.avg("size")).first()[0] or 1.0
     weights = {"bytes": "size", "mixed": f"size + {float(means)!r}D"}
     wanted = {"bytes": [(k / shards, tolerance / shards) for k in range(1, shards)], "mixed": [(k / parts, 0.2 / parts) for k in range(1, parts)]}
     found = splitters(keyed, wanted, weights)
     borders, inner = sorted(found[: shards - 1]), found[shards - 1 :]
+    total = keyed.agg(F.sum("size")).first()[0] or 0
+    borders = sorted(whole_groups(keyed, borders, group_tolerance * total / shards))
     every = sorted({*borders, *inner})
     shard_of = np.searchsorted(np.array([_key(b) for b in borders], "S33"), np.array([_key(0), *map(_key, every)], "S33"), side="right") if borders else np.zeros(len(every) + 1, int)
     shared = spark.sparkContext.broadcast((np.array([_key(b) for b in every], "S33"), shard_of.astype(np.int32)))
@@ -131,12 +156,12 @@ def shard(docs: DataFrame, shards: int = 16, tolerance: float = 1e-4, id_col: st
 
     def deal(batch_parts):
         for part in batch_parts:
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(part_of(part.column("_key")))], names=[*part.schema.names, "_part"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(part_of(part.column(KEY)))], names=[*part.schema.names, PART])
 
     def number(batch_parts):
         at: dict[int, int] = {}
         for part in batch_parts:
-            which, slots = part.column("_part").to_numpy(), np.empty(part.num_rows, np.int64)
+            which, slots = part.column(PART).to_numpy(), np.empty(part.num_rows, np.int64)
             for k in np.unique(which):
                 mine = np.flatnonzero(which == k)
                 begin = at.get(k, starts[k])
@@ -145,6 +170,6 @@ def shard(docs: DataFrame, shards: int = 16, tolerance: float = 1e-4, id_col: st
             columns = [*(part.column(c) for c in [*kept, "size"]), pa.array(shared.value[1][which]), pa.array(slots)]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "size", "shard", "slot"])
 
-    dealt = rows.mapInArrow(deal, rows.withColumn("_part", F.lit(0)).schema).repartitionById(len(every) + 1, "_part").sortWithinPartitions("_part", "_key")
+    dealt = rows.mapInArrow(deal, rows.withColumn(PART, F.lit(0)).schema).repartitionById(len(every) + 1, PART).sortWithinPartitions(PART, KEY)
     schema = docs.select(*kept, F.lit(0).cast("long").alias("size"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).schema
     return dealt.mapInArrow(number, schema)

@@ -44,3 +44,20 @@ def test_splitters_by_weight(spark):
     keyed = spark.range(1000).select(F.lpad(F.lower(F.hex("id")), 32, "0").alias("key"), F.lit(1).alias("size"))
     found = sharding.splitters(keyed, {"n": [(0.25, 0.0), (0.5, 0.0)]}, {"n": "size"})
     assert found == [250, 500]
+
+
+def test_equal_texts_share_a_shard_but_for_a_hot_group(spark):
+    draw = np.random.default_rng(3)
+    texts = [f"text {k} " + "y" * int(n) for k, n in enumerate(draw.integers(0, 200, 1500))]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(10_000 + 5 * k + j, t) for k, t in enumerate(texts[:700]) for j in range(4)]
+    frame = check(rows, sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")), 16, 0.1 * sum(len(t) + 1 for _, t in rows) / 16)
+    assert (frame.groupby("text").shard.nunique() == 1).all()
+    hot = rows + [(50_000 + k, "the same text again, everywhere") for k in range(4000)]
+    frame = check(hot, sharding.shard(spark.createDataFrame(hot, "doc_id long, text string")), 16, 0.1 * sum(len(t) + 1 for _, t in hot) / 16)
+    spread = frame.groupby("text").shard.nunique()
+    assert (spread.drop("the same text again, everywhere") == 1).all() and spread["the same text again, everywhere"] > 1
+
+
+def test_columns_of_common_names_are_kept(spark):
+    made = sharding.shard(spark.createDataFrame([(1, "a", "k", 7), (2, None, None, None)], "doc_id long, text string, _key string, _part int"))
+    assert sorted((r.doc_id, r["_key"], r["_part"]) for r in made.collect()) == [(1, "k", 7), (2, None, None)]
