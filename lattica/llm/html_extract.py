@@ -211,13 +211,13 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     Columns named text and n_chars are replaced, all others are kept. Null html counts as empty.
     Unclosed, misnested and cut-off markup is read as far as it goes; no page is cut or dropped.
     """
-    kept = [c for c in pages.columns if c not in (html_col, "text", "n_chars", "_html")]
+    kept = [c for c in pages.columns if c not in (html_col, "text", "n_chars", "_lattica_html")]
     schema = pages.select(*kept, F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
 
     def run(parts):
         for part in parts:
-            texts = [main_text(h.as_py()) for h in part.column("_html")]
+            texts = [main_text(h.as_py()) for h in part.column("_lattica_html")]
             columns = [part.column(c) for c in kept] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "text", "n_chars"])
 
-    return pages.select(*kept, F.col(html_col).alias("_html")).mapInArrow(run, schema)
+    return pages.select(*kept, F.col(html_col).alias("_lattica_html")).mapInArrow(run, schema)
