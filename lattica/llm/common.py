@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import connected_components, durable, roots
 
-__all__ = ["batches", "by_pair", "connected_components", "durable", "pair_rows", "roots", "shuffle_partitions", "slices", "tile_pairs"]
+__all__ = ["batches", "by_pair", "connected_components", "durable", "pack_tiles", "roots", "shuffle_partitions", "slices", "tile_pairs", "tile_size"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -40,23 +41,48 @@ def batches(f, schema: str):
     return run
 
 
-def tile_pairs(tiles: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows of both tiles of each pair, one after the other: (tile, ..., pair).
+def tile_size(rows: int, least: int, most: int, tiles: int = 256) -> int:
+    """Rows of a tile: `least`, or more where that would make more tiles, but never over `most`, which bounds a task's memory.
 
-    tiles: (tile, ...), a row for each tile. pairs: (pair, tile, tiles), a row for each tile of a
-    pair, with pairs numbered from 0 and dealt evenly over the partitions by their number; tiles
-    is 1 where a tile is paired with itself, else 2.
+    Each tile is sent once to every tile that it meets, so what is moved grows with the number of tiles.
     """
-    last = pairs.agg(F.max("pair")).first()[0]
-    n = min(int(last or 0) + 1, 4 * shuffle_partitions(tiles.sparkSession))
-    dealt = tiles.join(pairs, "tile").repartitionById(n, F.pmod(F.col("pair"), F.lit(n)).cast("int"))
-    return dealt.sortWithinPartitions("pair", "tile")
+    return min(max(least, -(-rows // tiles)), max(least, most))
+
+
+def pack_tiles(rows: DataFrame, tiles: int, pack, schema: str) -> DataFrame:
+    """One row for each tile, made by pack(pyarrow.Table of the tile's rows); rows: (tile int, ...). Each tile has a task of its own."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [part for part in parts if part.num_rows]
+        if held:
+            table = pa.Table.from_batches(held)
+            for tile in pc.unique(table.column("tile")).sort():
+                yield from pack(table.filter(pc.equal(table.column("tile"), tile))).to_batches()
 
+    return rows.repartitionById(tiles, F.col("tile")).mapInArrow(run, schema)
 
-def pair_rows(spark: SparkSession, met: list[tuple[int, int]]) -> DataFrame:
-    """tile_pairs' pairs from a list of them."""
-    rows = [(k, t, len({*pair})) for k, pair in enumerate(met) for t in dict.fromkeys(pair)]
-    return spark.createDataFrame(rows, "pair int, tile int, tiles int")
+
+def tile_pairs(tiles: DataFrame, bands: list[tuple[int, int, int]]) -> DataFrame:
+    """The rows of both tiles of each pair, one after the other: (tile, ..., pair, tiles).
+
+    tiles: (tile, ...), a row for each tile. bands: (tile, low, high) for each tile that meets
+    the tiles low to high, itself perhaps among them; only these, a row for each tile, come from
+    the driver. Pairs are numbered without a gap and dealt evenly over the partitions by their
+    number; tiles is 1 where a tile is paired with itself, else 2.
+    """
+    spark, count, rows = tiles.sparkSession, 0, []
+    for tile, low, high in bands:
+        if low <= high:
+            rows.append((tile, low, high, count))
+            count += high - low + 1
+    if not rows:
+        rows = [(-1, -1, -1, 0)]  # meets no tile
+    of = spark.createDataFrame(rows, "one int, low int, high int, base long")
+    pairs = of.withColumn("other", F.explode(F.sequence("low", "high"))).select((F.col("base") + F.col("other") - F.col("low")).alias("pair"), F.array_distinct(F.array("one", "other")).alias("both"))
+    pairs = pairs.select("pair", F.explode("both").alias("tile"), F.size("both").alias("tiles"))
+    n = max(1, min(count, 4 * shuffle_partitions(spark)))
+    dealt = tiles.join(pairs, "tile").repartitionById(n, F.pmod(F.col("pair"), F.lit(n)).cast("int"))
+    return dealt.sortWithinPartitions("pair", "tile")
 
 
 def by_pair(f):

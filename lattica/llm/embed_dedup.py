@@ -7,12 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_pair, connected_components, durable, pair_rows, roots, tile_pairs
+from .common import by_pair, connected_components, durable, pack_tiles, roots, tile_pairs, tile_size
 
 #: Rows of the left tile multiplied at a time.
 ROWS = 512
 #: Pairs recomputed in double precision at a time.
 EXACT = 1 << 16
+#: Components of a tile's vectors, at most.
+TILE = 1 << 24
 #: Added to the bound for the rounding of the bound's own arithmetic.
 SLACK = 1e-5
 
@@ -94,7 +96,7 @@ def _links(tiles: list[dict], threshold: float) -> pa.Table:
 
 
 def embedding_duplicates(
-    vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", tile_rows: int = 8192, max_tiles: int = 256
+    vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", tile_rows: int = 8192
 ) -> DataFrame:
     """(id, n_links, component, kept) for each row of vectors.
 
@@ -115,12 +117,12 @@ def embedding_duplicates(
     good = rows.where(usable)
     nodes = durable(good.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
     sizes = {r["n"]: r["c"] for r in nodes.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).collect()}
-    spark, first, width, met = vectors.sparkSession, {}, {}, []
+    spark, first, width, bands = vectors.sparkSession, {}, {}, []
     for n in sorted(sizes):
-        per_tile = max(tile_rows if n <= 256 else max(256, tile_rows * 256 // n), -(-sizes[n] // max_tiles))
+        per_tile = tile_size(sizes[n], tile_rows if n <= 256 else max(256, tile_rows * 256 // n), min(1 << 16, TILE // n))
         first[n], width[n] = sum(width.values()), -(-sizes[n] // per_tile)
-        met += [(first[n] + x, first[n] + y) for x in range(width[n]) for y in range(x, width[n])]
-    if not met:
+        bands += [(first[n] + x, first[n] + x, first[n] + width[n] - 1) for x in range(width[n])]
+    if not bands:
         return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"), F.lit(True).alias("kept"))
     spread = spark.createDataFrame([(n, first[n], width[n]) for n in first], "n int, first int, width int")
     tiled = nodes.withColumn("n", F.size("v")).join(F.broadcast(spread), "n")  # a row for each vector length
@@ -132,9 +134,8 @@ def embedding_duplicates(
         one = lambda name: t.column(name).to_numpy().astype("<i8").tobytes()
         return pa.table({"tile": t.column("tile").slice(0, 1), "ids": [one("id")], "copies": [one("copies")], "rows": [x.tobytes()], "kind": [numpy_kind]})
 
-    blobs = durable(tiled.groupBy("tile").applyInArrow(blob, "tile int, ids binary, copies binary, rows binary, kind string"))
-    pairs = pair_rows(spark, met)
-    found = tile_pairs(blobs, pairs).mapInArrow(by_pair(lambda tiles: _links(tiles, threshold)), "id long, links long, root long")
+    blobs = durable(pack_tiles(tiled, len(bands), blob, "tile int, ids binary, copies binary, rows binary, kind string"))
+    found = tile_pairs(blobs, bands).mapInArrow(by_pair(lambda tiles: _links(tiles, threshold)), "id long, links long, root long")
     found = durable(found)
     component = connected_components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
@@ -143,6 +144,6 @@ def embedding_duplicates(
         .join(component.withColumnRenamed("node", "id"), "id", "left")
         .select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
     )
-    joined = rows.withColumn("v", F.when(usable, F.col("v"))).join(known, "v", "left")
-    out = joined.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component"))
-    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component")))
+    linked = good.join(known, "v").select("id", F.col("n_links").cast("long").alias("n_links"), "component")
+    alone = rows.where(~usable).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))  # meet no join
+    return linked.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component")))

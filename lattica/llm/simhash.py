@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import math
 
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, by_pair, connected_components, durable, pair_rows, roots, shuffle_partitions, slices, tile_pairs
+from .common import batches, by_pair, connected_components, durable, pack_tiles, roots, shuffle_partitions, slices, tile_pairs, tile_size
 
 #: Shingles whose hashes are summed at a time, so that a very long text needs no more memory.
 CHUNK = 1 << 16
@@ -21,6 +22,8 @@ PAIRS = 1 << 21
 DROPPED = 4_000_000
 #: Members of candidate groups are broadcast up to so many; beyond, documents and members are shuffled.
 MEMBERS = 500_000
+#: Rows of a tile, at most.
+TILE = 1 << 18
 #: Shingles verified in one group; those of a larger component are cut up.
 GROUP = 1 << 21
 
@@ -120,14 +123,14 @@ def _links(tiles: list[dict], parts: int, radius: int) -> pa.Table:
     return pa.table({"a": ids[order][label[moved]], "b": ids[order][moved]})
 
 
-def simhash_links(prints: DataFrame, radius: int, tile_rows: int = 16384, max_tiles: int = 256) -> DataFrame:
+def simhash_links(prints: DataFrame, radius: int, tile_rows: int = 16384) -> DataFrame:
     """Edges (a, b) between ids whose fingerprints differ by at most radius bits.
 
     prints: (id, f0, ...) with distinct fingerprints. The edges are a spanning forest of the
     links found in each pair of tiles: they join the same ids as all links do, and a group of n
     mutual near copies gives about n of them. A tile holds fingerprints of one population count,
-    or of a few that few have, tile_rows of them, or more where that would make over max_tiles
-    tiles; tile pairs whose population counts differ by more than the radius are not compared. Only the number of
+    or of a few that few have, tile_rows of them, or more where that would make over 256 tiles, up
+    to TILE; tile pairs whose population counts differ by more than the radius are not compared. Only the number of
     fingerprints for each population count reaches the driver.
     """
     spark = prints.sparkSession
@@ -135,7 +138,7 @@ def simhash_links(prints: DataFrame, radius: int, tile_rows: int = 16384, max_ti
     parts = len(cols)
     prints = prints.withColumn("pop", sum((F.bit_count(c) for c in cols), F.lit(0)).cast("int"))
     counts = {r["pop"]: r["n"] for r in prints.groupBy("pop").agg(F.count("*").alias("n")).collect()}
-    tile_rows = max(tile_rows, -(-sum(counts.values()) // max_tiles))
+    tile_rows = tile_size(sum(counts.values()), tile_rows, TILE)
     first, chunks, tiles, room = {}, {}, [], 0
     for pop in sorted(counts):
         if counts[pop] <= room:  # joins the tile of the next smaller counts
@@ -151,16 +154,12 @@ def simhash_links(prints: DataFrame, radius: int, tile_rows: int = 16384, max_ti
     base = F.array(*[F.lit(first.get(p, 0)) for p in range(64 * parts + 1)])
     width = F.array(*[F.lit(chunks.get(p, 1)) for p in range(64 * parts + 1)])
     at = F.col("pop") + 1
-    blobs = (
-        prints.withColumn("tile", F.element_at(base, at) + F.pmod(F.xxhash64(*cols), F.element_at(width, at)).cast("int"))
-        .select("tile", "id", *cols)
-        .groupBy("tile")
-        .applyInArrow(lambda t: _blob(t, ["id", *cols]), "tile int, rows binary")
-    )
-    met = [(x, y) for x, (_, high) in enumerate(tiles) for y, (low, _) in enumerate(tiles) if x <= y and low - high <= radius]
-    pairs = pair_rows(spark, met)
+    tiled = prints.select((F.element_at(base, at) + F.pmod(F.xxhash64(*cols), F.element_at(width, at)).cast("int")).alias("tile"), "id", *cols)
+    blobs = pack_tiles(tiled, len(tiles), lambda t: _blob(t, ["id", *cols]), "tile int, rows binary")
+    lows = [low for low, _ in tiles]  # rising
+    bands = [(x, x, bisect.bisect_right(lows, high + radius) - 1) for x, (_, high) in enumerate(tiles)]
     run = by_pair(lambda rows: _links(rows, parts, radius))
-    return tile_pairs(durable(blobs), pairs).mapInArrow(run, "a long, b long")
+    return tile_pairs(durable(blobs), bands).mapInArrow(run, "a long, b long")
 
 
 def _blob(table: pa.Table, cols: list[str]) -> pa.Table:
@@ -273,7 +272,7 @@ def _candidates(tiles: list[dict], parts: int, radius: int, least: float) -> pa.
     return pa.table({"a": ids[label[moved]], "b": ids[moved]})
 
 
-def candidate_links(nodes: DataFrame, radius: int, least: float, tile_rows: int = 16384, max_tiles: int = 256) -> DataFrame:
+def candidate_links(nodes: DataFrame, radius: int, least: float, tile_rows: int = 16384) -> DataFrame:
     """Edges (a, b) between keys of sets that may have the similarity `least`: a spanning forest for each pair of tiles.
 
     nodes: (s, n, f0, ...). A tile holds sets of about one size; tiles, and rows within, whose
@@ -285,7 +284,7 @@ def candidate_links(nodes: DataFrame, radius: int, least: float, tile_rows: int
     counts = {r["step"]: r for r in nodes.groupBy("step").agg(F.count("*").alias("rows"), F.min("n").alias("low"), F.max("n").alias("high")).collect()}
     if not counts:
         return spark.createDataFrame([], "a long, b long")
-    tile_rows = max(tile_rows, -(-sum(r["rows"] for r in counts.values()) // max_tiles))
+    tile_rows = tile_size(sum(r["rows"] for r in counts.values()), tile_rows, TILE)
     first, chunks, tiles, room = {}, {}, [], 0
     for step, r in sorted(counts.items()):
         if r["rows"] <= room:
@@ -298,15 +297,12 @@ def candidate_links(nodes: DataFrame, radius: int, least: float, tile_rows: int
         room = tile_rows - r["rows"] if chunks[step] == 1 else 0
     base, width = (F.array(*[F.lit(of.get(k, 1)) for k in range(max(counts) + 1)]) for of in (first, chunks))
     at = F.col("step") + 1
-    blobs = (
-        nodes.withColumn("tile", F.element_at(base, at) + F.pmod(F.xxhash64("s"), F.element_at(width, at)).cast("int"))
-        .select("tile", "s", "n", *cols)
-        .groupBy("tile")
-        .applyInArrow(lambda t: _blob(t, ["s", "n", *cols]), "tile int, rows binary")
-    )
-    met = [(x, y) for x, (_, high) in enumerate(tiles) for y, (low, _) in enumerate(tiles) if x <= y and high >= least * low - 1e-6]
+    tiled = nodes.select((F.element_at(base, at) + F.pmod(F.xxhash64("s"), F.element_at(width, at)).cast("int")).alias("tile"), "s", "n", *cols)
+    blobs = pack_tiles(tiled, len(tiles), lambda t: _blob(t, ["s", "n", *cols]), "tile int, rows binary")
+    lows = [low for low, _ in tiles]  # rising
+    bands = [(x, x, bisect.bisect_right(lows, high / least + 1e-6) - 1) for x, (_, high) in enumerate(tiles)]
     run = by_pair(lambda rows: _candidates(rows, len(cols), radius, least))
-    return tile_pairs(durable(blobs), pair_rows(spark, met)).mapInArrow(run, "a long, b long")
+    return tile_pairs(durable(blobs), bands).mapInArrow(run, "a long, b long")
 
 
 def alike(sets: list[np.ndarray], least: float) -> np.ndarray:

@@ -7,22 +7,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_pair, durable, pair_rows, tile_pairs
+from .common import by_pair, durable, pack_tiles, tile_pairs, tile_size
 from .embed_dedup import valid
 
+#: Components of a tile's vectors, at most.
+TILE = 1 << 22
 #: Entries of each list that are read first; every further step reads twice as many.
 FIRST = 16
 
 
+def sorted_lists(x: np.ndarray) -> np.ndarray:
+    """For each dimension the rows of x in ascending order."""
+    return np.ascontiguousarray(np.argsort(x, axis=0, kind="stable").T.astype(np.int32))
+
+
 class Lists:
     """Candidates with, for each dimension, their rows in ascending and descending order."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, up: np.ndarray | None = None):
+        """up: (dimensions, n), what sorted_lists(x) gives."""
         self.ids, self.n = ids, len(ids)
-        order = np.argsort(x, axis=0, kind="stable")
-        self.up = np.ascontiguousarray(order.T.astype(np.int32))
-        self.down = np.ascontiguousarray(self.up[:, ::-1])
-        self.values = np.ascontiguousarray(np.take_along_axis(x, order, axis=0).T)
+        self.up = sorted_lists(x) if up is None else up
+        self.down = self.up[:, ::-1]
+        self.values = np.take_along_axis(x.T, self.up, axis=1)
         self.x = x
         self.largest = int(np.abs(x).max(initial=0))
         self.single, self.double = None, None
@@ -91,54 +98,58 @@ def _search(tiles: list[dict], k: int) -> pa.Table:
         ids, rows = np.frombuffer(t["ids"], "<i8"), np.frombuffer(t["rows"], "<i8")
         return ids, rows.reshape(len(ids), len(rows) // len(ids))
 
-    lists = Lists(*read(next(t for t in tiles if not t["asks"])))
-    out: list[list] = [[], [], []]
-    for own, q in zip(*read(next(t for t in tiles if t["asks"]))):
+    held, asked = (next(t for t in tiles if t["asks"] == asks) for asks in (False, True))
+    ids, x = read(held)
+    lists = Lists(ids, x, np.frombuffer(held["lists"], "<i4").reshape(x.shape[::-1]))
+    out: list[list] = [[], [], [], []]
+    for ask, own, q in zip(np.frombuffer(asked["numbers"], "<i8"), *read(asked)):
         ids, scores = lists.search(int(own), q, k)
-        for column, values in zip(out, (np.full(len(ids), own), ids, scores)):
+        for column, values in zip(out, (np.full(len(ids), ask), np.full(len(ids), own), ids, scores)):
             column.append(values)
-    return pa.table({c: pa.array(np.concatenate(v) if v else [], pa.int64()) for c, v in zip(("query_id", "id", "score"), out)})
+    return pa.table({c: pa.array(np.concatenate(v) if v else [], pa.int64()) for c, v in zip(("ask", "query_id", "id", "score"), out)})
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, tile_rows: int = 16384, query_rows: int = 512, max_tiles: int = 256) -> DataFrame:
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, tile_rows: int = 16384, query_rows: int = 512) -> DataFrame:
     """(query_id, rank, id, score): the k candidates of highest inner product for each query.
 
     queries and candidates: (id long, v array<long>); a candidate with the query's own id is left
     out, ties go to the smaller id, a query gets all candidates if there are fewer than k, and no
     row if there are none. Vectors meet only vectors of their length; null ids and vectors must
-    be left out before. Sums of products must stay within 63 bits. Of repeated ids each row
-    counts. Each task runs the threshold algorithm for one tile of queries over one tile of
-    candidates; the k best of each then meet by query.
+    be left out before. Sums of products must stay within 63 bits. A candidate in several rows
+    counts with each of them, and each of several queries of one id has its own k ranks. Each task runs the
+    threshold algorithm for one tile of queries over one tile of candidates, whose lists are
+    sorted once, with the tile; the k best of each then meet by query.
     """
     spark = queries.sparkSession
-    both = durable(candidates.select("id", "v", F.lit(False).alias("asks")).union(queries.select("id", "v", F.lit(True).alias("asks"))))
+    asked = queries.select("id", "v", F.lit(True).alias("asks"), F.monotonically_increasing_id().alias("number"))  # written below, so it stays
+    both = durable(candidates.select("id", "v", F.lit(False).alias("asks"), F.lit(0).cast("long").alias("number")).union(asked))
     counts = {(r["n"], r["asks"]): r["c"] for r in both.groupBy(F.size("v").alias("n"), "asks").agg(F.count("*").alias("c")).collect()}
-    tiles, rows, met = 0, [], []
+    tiles, rows, bands = 0, [], []
     for n in sorted({n for n, _ in counts}):
         if (n, True) in counts and (n, False) in counts:
             made = {}
             for asks, per in ((False, tile_rows), (True, query_rows)):
-                count = counts[n, asks]
-                width = -(-count // max(per, -(-count // max_tiles)))
+                width = -(-counts[n, asks] // tile_size(counts[n, asks], per, TILE // max(1, n)))
                 made[asks] = range(tiles, tiles + width)
                 rows.append((n, asks, tiles, width))
                 tiles += width
-            met += [(c, q) for c in made[False] for q in made[True]]
-    if not met:
+            bands += [(q, made[False][0], made[False][-1]) for q in made[True]]
+    if not bands:
         return spark.createDataFrame([], "query_id long, rank int, id long, score long")
     spread = spark.createDataFrame(rows, "n int, asks boolean, first int, width int")
     tiled = both.withColumn("n", F.size("v")).join(F.broadcast(spread), ["n", "asks"])  # two rows for each vector length
-    tiled = tiled.select((F.col("first") + F.pmod(F.xxhash64("id"), F.col("width")).cast("int")).alias("tile"), "asks", "id", "v")
+    tiled = tiled.select((F.col("first") + F.pmod(F.xxhash64("id", "number"), F.col("width")).cast("int")).alias("tile"), "asks", "id", "v", "number")
 
     def blob(t: pa.Table) -> pa.Table:
         x = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<i8")
-        ids = t.column("id").to_numpy().astype("<i8")
-        return pa.table({"tile": t.column("tile").slice(0, 1), "asks": t.column("asks").slice(0, 1), "ids": [ids.tobytes()], "rows": [x.tobytes()]})
-
-    blobs = durable(tiled.groupBy("tile").applyInArrow(blob, "tile int, asks boolean, ids binary, rows binary"))
-    pairs = pair_rows(spark, met)
-    found = tile_pairs(blobs, pairs).mapInArrow(by_pair(lambda tiles: _search(tiles, k)), "query_id long, id long, score long")
-    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        ids, numbers = (t.column(c).to_numpy().astype("<i8") for c in ("id", "number"))
+        lists = b"" if t.column("asks")[0].as_py() else sorted_lists(x.reshape(len(ids), len(x) // len(ids))).astype("<i4").tobytes()
+        made = {"ids": [ids.tobytes()], "numbers": [numbers.tobytes()], "rows": [x.tobytes()], "lists": [lists]}
+        return pa.table({"tile": t.column("tile").slice(0, 1), "asks": t.column("asks").slice(0, 1)} | made)
+
+    blobs = durable(pack_tiles(tiled, tiles, blob, "tile int, asks boolean, ids binary, numbers binary, rows binary, lists binary"))
+    found = tile_pairs(blobs, bands).mapInArrow(by_pair(lambda tiles: _search(tiles, k)), "ask long, query_id long, id long, score long")
+    by_query = Window.partitionBy("ask").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 

@@ -93,3 +93,10 @@ def test_threshold_algorithm_stops_early():
     assert ids.tolist() == [5] and scores.tolist() == [6000]
     big = topk.Lists(np.arange(3), np.array([[1 << 30], [(1 << 30) + 1], [5]]))
     assert big.search(-1, np.array([1 << 30]), 2)[0].tolist() == [1, 0]
+
+
+def test_repeated_query_rows_are_ranked_apart(spark):
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (3, [0.5, 0.0]), (3, [0.5, 0.0]), (2, [0.25, 0.0])]
+    vectors = topk.integer_vectors(spark.createDataFrame([(i, v, 0, "x") for i, v in rows], SCHEMA))
+    got = topk.top_k(vectors.where("id = 50"), vectors, 2, tile_rows=2, query_rows=1).collect()
+    assert sorted(tuple(r) for r in got) == 2 * [(50, 1, 3, 32768)] + 2 * [(50, 2, 3, 32768)]
