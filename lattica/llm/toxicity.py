@@ -13,12 +13,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, durable
 
 WORD = regex.compile(r"\w+")
-#: Words are kept if they are at least one in so many words of a class of the labelled texts, and
-#: bigrams likewise. So a model has at most twice so many of each, whatever the input.
-WORDS, BIGRAMS = 1 << 18, 1 << 19
+#: Different labelled texts that a model is fitted on, about; of more, those whose hashes are low.
+#: This alone bounds the model, whatever the input; every word and bigram of these texts counts.
+LEARN = 20_000
 #: Labels are joined by broadcast up to so many; beyond, both sides are shuffled.
 LABELS = 2_000_000
 #: Lengths of the beginnings of words that are counted, and the share of a beginning's words that
@@ -31,7 +31,7 @@ BINS, REACH = 4096, 4.0
 #: An expression is attested if twice the log-likelihood ratio of its counts in the two classes
 #: against the classes' sizes is over twice the log of the number of expressions, plus this, and if
 #: it is so many times likelier in one class. All others are smoothed to the shared counts.
-MARGIN, STRONG = 10.0, 20
+MARGIN, STRONG = 4.0, 20
 
 
 def words(text: str | None) -> list[str]:
@@ -229,18 +229,24 @@ class Calibration:
         return np.interp(ratio, self.at, self.share)
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, held_out) -> DataFrame:
-    """(text, label) of the documents that may be learned from."""
+def _labelled(docs: DataFrame, labels: DataFrame, held_out, learn: int) -> DataFrame:
+    """(text, label) of about `learn` different texts, or all, of the documents that may be learned from."""
     marks = labels.select(F.col("doc_id").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
     marks = marks.where("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
     marks = marks.where(~held_out("doc_id"))
     if marks.count() <= LABELS:
         marks = F.broadcast(marks)  # checked just above
-    return docs.select("doc_id", "text").join(marks, "doc_id").select("text", "label")
+    rows = docs.select("doc_id").join(marks, "doc_id").count()
+    found = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(marks, "doc_id")
+    if rows > learn:
+        found = found.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 40)) < int((1 << 40) * learn / rows))
+    # Copies are one text, so a hot group of them is combined before anything is shuffled.
+    found = found.groupBy(F.md5("text").alias("key"), "label").agg(F.min("text").alias("text"))
+    return durable(found.select("text", "label"))
 
 
 def train(rows: DataFrame) -> tuple[Model, Calibration]:
-    """A model from (text, label) over all rows. Its parts reach the driver only as kept words and bigrams."""
+    """A model from (text, label), over all rows, of which there are a bounded number. Words, beginnings and bigrams that come again reach the driver."""
     spark = rows.sparkSession
 
     def count_words(part: pa.RecordBatch) -> dict:
@@ -254,8 +260,7 @@ def train(rows: DataFrame) -> tuple[Model, Calibration]:
     counted = rows.mapInArrow(batches(count_words, schema), schema).groupBy("word").agg(F.sum("plain").alias("plain"), F.sum("toxic").alias("toxic"))
     counted = counted.persist()
     sums = counted.agg(F.sum("plain").alias("plain"), F.sum("toxic").alias("toxic")).first()
-    least = [max(2.0, (sums[c] or 0) / WORDS) for c in ("plain", "toxic")]
-    kept = counted.where((F.col("plain") >= least[0]) | (F.col("toxic") >= least[1])).select("word")
+    kept = counted.where((F.col("plain") >= 2) | (F.col("toxic") >= 2)).select("word")
     vocabulary = {w: k + 2 for k, w in enumerate(sorted(kept.toArrow().column(0).to_pylist()))}
     lengths = F.expr(f"sequence({STEMS[0]}, least({STEMS[-1]}, length(word)))")
     begin = F.explode(F.transform(lengths, lambda k: F.substring(F.col("word"), F.lit(1), k))).alias("stem")
@@ -263,7 +268,7 @@ def train(rows: DataFrame) -> tuple[Model, Calibration]:
     kinds = [F.sum((F.col(c) > 0).cast("long")) for c in ("plain", "toxic")]
     begun = begun.groupBy("stem").agg(F.sum("plain").alias("n0"), F.sum("toxic").alias("n1"), kinds[0].alias("k0"), kinds[1].alias("k1")).persist()
     tokens = np.array([sums["plain"] or 0, sums["toxic"] or 0])
-    common = begun.where((F.col("n0") >= max(4.0, least[0])) | (F.col("n1") >= max(4.0, least[1]))).toArrow()
+    common = begun.where((F.col("n0") >= 4) | (F.col("n1") >= 4)).toArrow()
     columns = [common.column(c).to_numpy() for c in ("n0", "n1", "k0", "k1")]
     stems = stem_ratios(common.column("stem").to_pylist(), np.array(columns[:2]), np.array(columns[2:]), tokens)
     begun.unpersist()
@@ -300,7 +305,7 @@ def train(rows: DataFrame) -> tuple[Model, Calibration]:
 
     ratios, p = word_ratios(by_word(f"key % {size}", kinds))
     left = by_word(f"key div {size}", [F.sum("n0"), F.sum("n1"), *kinds])
-    often = bigrams.where((F.col("n0") >= max(2.0, total[0] / BIGRAMS)) | (F.col("n1") >= max(2.0, total[1] / BIGRAMS))).toArrow()
+    often = bigrams.where((F.col("n0") >= 2) | (F.col("n1") >= 2)).toArrow()
     n = np.array([often.column("n0").to_numpy(), often.column("n1").to_numpy()])
     discounts = [discount(total[3], total[4]), discount(total[5], total[6])]
     keys, pairs = pair_ratios(often.column("key").to_numpy(), n, size, left[:2], left[2:], np.array(total[:2]), total[2], discounts, p)
@@ -324,7 +329,7 @@ def held_out(column: str):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 4 == 2, F.lit(False))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, learn: int = LEARN) -> DataFrame:
     """docs with held_out, score and predicted (these replace columns of the same names).
 
     A text's score is the probability of label 1 at its ratio, the mean over its words of
@@ -332,9 +337,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3)
     a rising fit over a histogram of their ratios. Labels of
     held-out ids are not read. Null and empty texts have ratio 0 and the score that goes with
     it. A repeated id keeps all its rows; of its labels the highest counts. Without labels all
-    scores are near 0. Whole texts are read, in training as in scoring, and all labelled rows count.
+    scores are near 0. Whole texts are read, in training as in scoring. The model is fitted on
+    about `learn` different labelled texts, chosen by hash, or on all if there are fewer.
     """
-    model, calibration = train(_labelled(docs, labels, held_out))
+    model, calibration = train(_labelled(docs, labels, held_out, learn))
     shared = docs.sparkSession.sparkContext.broadcast((model, calibration))
     kept = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
 

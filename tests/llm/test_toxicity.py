@@ -86,3 +86,65 @@ def test_pairs_need_more_than_their_words():
     n = np.array([[2, 200, 0], [60, 20, 2]])
     got, ratios = toxicity.pair_ratios(keys, n, size, words * 3, words, np.array([200_000, 20_000]), 1000, [0.75, 0.75], p)
     assert got.tolist() == [2 * size + 3] and ratios[0] > np.log(20)
+
+
+def brute_ratios(texts):
+    """Kneser-Ney word ratios by plain loops over (text, label)."""
+    tokens = {c: [toxicity.words(t) for t, label in texts if label == c] for c in (0, 1)}
+    counts = {c: {} for c in (0, 1)}
+    for c in (0, 1):
+        for text in tokens[c]:
+            for w in text:
+                counts[c][w] = counts[c].get(w, 0) + 1
+    kept = {w for c in (0, 1) for w, n in counts[c].items() if n >= 2}
+    pairs = {c: {} for c in (0, 1)}  # bigrams, with the different words before each
+    for c in (0, 1):
+        for text in tokens[c]:
+            run = ["<s>", "<s>", *(w if w in kept else "<other>" for w in text)]
+            for a, b, w in zip(run, run[1:], run[2:]):
+                pairs[c].setdefault((b, w), set()).add(a)
+    before = {c: {} for c in (0, 1)}
+    for c in (0, 1):
+        for _, w in pairs[c]:
+            before[c][w] = before[c].get(w, 0) + 1
+    names = ["<s>", "<other>", *sorted(kept)]
+    n = {c: [before[c].get(w, 0) for w in names] for c in (0, 1)}
+    total = {c: sum(n[c]) for c in (0, 1)}
+    shared = [(n[0][k] + n[1][k] + 0.5) / (total[0] + total[1] + 0.5 * len(names)) for k in range(len(names))]
+    own, told = {0: {}, 1: {}}, []
+    for c in (0, 1):
+        once, twice = sum(x == 1 for x in n[c]), sum(x == 2 for x in n[c])
+        d = min(0.95, max(0.3, once / (once + 2 * twice))) if once else 0.75
+        left = d * sum(x > 0 for x in n[c]) / total[c]
+        own[c] = [max(x - d, 0) / total[c] + left * s for x, s in zip(n[c], shared)]
+    for k in range(2, len(names)):
+        mean = [(n[0][k] + n[1][k]) * total[c] / (total[0] + total[1]) for c in (0, 1)]
+        g = 2 * sum(n[c][k] * np.log(n[c][k] / mean[c]) for c in (0, 1) if n[c][k])
+        if g > 2 * np.log(len(names)) + toxicity.MARGIN and abs(np.log(own[1][k] / own[0][k])) > np.log(toxicity.STRONG):
+            told.append(k)
+    rest = [(1 - sum(own[c][k] for k in told)) / (1 - sum(shared[k] for k in told)) for c in (0, 1)]
+    ratio = {w: np.log(rest[1] / rest[0]) for w in names}
+    return ratio | {names[k]: np.log(own[1][k] / own[0][k]) for k in told}, [names[k] for k in told]
+
+
+def test_model_agrees_with_brute_force(spark):
+    docs, labels = corpus(400, 3)
+    texts = [(t, y) for (_, t), (_, _, y) in zip(docs, labels)]
+    model, _ = toxicity.train(spark.createDataFrame(texts, "text string, label int"))
+    want, told = brute_ratios(texts)
+    assert told and set(told) <= set(model.vocabulary)
+    for word in [*told, "w1", "w77", "neverseen"]:
+        if model.stem(word) == 1:
+            assert model.words[model.vocabulary.get(word, 1)] == pytest.approx(want.get(word, want["<other>"]))
+
+
+def test_a_bounded_sample(spark):
+    docs, labels = corpus(600)
+    frame = spark.createDataFrame(docs * 3, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    learned = toxicity._labelled(frame, marks, toxicity.held_out, 300).count()
+    assert 40 < learned < 200  # a sixth of the rows, copies once
+    assert toxicity._labelled(frame, marks, toxicity.held_out, 5000).count() == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i, _ in docs)
+    held = toxicity.toxicity_scores(frame, marks, learn=900).where("held_out").toPandas()
+    truth = {i: y for i, _, y in labels}
+    assert ((held.predicted == 1) == [truth[i] == 1 for i in held.doc_id]).mean() > 0.95
