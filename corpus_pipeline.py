@@ -9,24 +9,25 @@ from lattica.llm import line_dedup, packing, simhash, toxicity
 from lattica.llm.common import durable
 from lattica.llm.queries import tokenizer_path
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that score below 0.3."""
+    """The documents that score below 0.3, with the columns they have."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.toxicity_scores(docs, labels, threshold=0.3).where("predicted = 0").select(*COLUMNS)
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))  # so that no column meets those of the scores
+    return toxicity.toxicity_scores(rows, labels, threshold=0.3).where("predicted = 0").select("row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that are on over a fiftieth, and five, of their source's different texts."""
-    cleaned = line_dedup.drop_boilerplate(docs, "source", ratio=0.02, min_pages=5, distinct_texts=True)
-    return cleaned.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    """All documents, without lines that are on over a fiftieth, and five, of their source's different texts; n_chars is counted anew."""
+    rows = docs.select("source", "text", F.struct(*docs.columns).alias("row"))
+    cleaned = line_dedup.drop_boilerplate(rows, "source", ratio=0.02, min_pages=5, distinct_texts=True)
+    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return cleaned.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies by five-word shingles."""
-    return simhash.keep_one(docs, words=5).select(*COLUMNS)
+    return simhash.keep_one(docs, words=5)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -386,14 +386,14 @@ def verified_links(docs: DataFrame, members: DataFrame, words: int, least: float
 
 
 def _keyed(docs: DataFrame, words: int, text_col: str) -> DataFrame:
-    """docs with the key _s of each text's set of shingles."""
-    schema = docs.select("*", F.lit(0).cast("long").alias("_s")).schema
+    """docs with the key _lattica_s of each text's set of shingles."""
+    schema = docs.select("*", F.lit(0).cast("long").alias("_lattica_s")).schema
     at = docs.columns.index(text_col)
 
     def run(parts):
         for part in slices(parts):
             keys = pa.array([_set_key(shingle_set(t.as_py(), words)) for t in part.column(at)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*part.columns, keys], names=[*part.schema.names, "_s"])
+            yield pa.RecordBatch.from_arrays([*part.columns, keys], names=[*part.schema.names, "_lattica_s"])
 
     return docs.mapInArrow(run, schema)
 
@@ -430,6 +430,6 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 38, parts: int = 2,
     gone = gone.unionByName(repeated.select(F.col("id").alias(id_col))).distinct()
     out = docs.join(gone, id_col, "left_anti").select(*docs.columns)
     more = _keyed(docs.join(repeated.select(F.col("id").alias(id_col)), id_col).select(*docs.columns), words, text_col)
-    more = more.join(dropped.select(F.col("id").alias(id_col), F.col("s").alias("_s")), [id_col, "_s"], "left_anti")
-    more = more.groupBy(id_col, "_s").agg(F.min_by(F.struct(*docs.columns), F.coalesce(text_col, F.lit(""))).alias("_row")).select("_row.*")
+    more = more.join(dropped.select(F.col("id").alias(id_col), F.col("s").alias("_lattica_s")), [id_col, "_lattica_s"], "left_anti")
+    more = more.groupBy(id_col, "_lattica_s").agg(F.min_by(F.struct(*docs.columns), F.coalesce(text_col, F.lit(""))).alias("_lattica_row")).select("_lattica_row.*")
     return out.unionByName(more)
