@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is absent (unit tests) a local folder is taken.
+    Only where that setting is absent and all runs in one machine (unit tests) a local folder is
+    taken; on a cluster, whose executors could not read it, that is an error.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="lattica-"))
+        folder = context.getConf().get("spark.checkpoint.dir", "")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lattica-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
