@@ -112,7 +112,7 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
         elif args.action == "alpha":
             if args.mesh:
                 whole = tuple(bricks.select("dx", "dy", "dz").first())
-                files.write_obj(*mesh(padded(to_voxels(bricks), whole), tuple(d + 2 for d in whole)), args.mesh)
+                files.write_obj(*mesh(padded(to_voxels(bricks), whole), tuple(d + 2 for d in whole)), args.mesh, by_volume=False)
             if args.segmentinfo:
                 files.write_results(actions.unreachable_segments(bricks), args.segmentinfo)
             emit(actions.alpha_basic(bricks) if args.basic else actions.alpha(bricks, parse_directions(args.dir), bool(args.segmentinfo)), args.output)
@@ -121,9 +121,7 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
             files.write_results(found, args.output or f"{args.out}/data.csv")
             cut = actions.cut_windows(bricks, args.size, args.stride, args.begin, args.end)
             name = actions.F.format_string("%04d_%04d_%04d.bin", "originx", "originy", "originz")
-            named = cut.withColumn("volume_id", actions.F.xxhash64("volume_id", "originx", "originy", "originz"))
-            contents = files.encode_bin(named).join(named.select("volume_id", name.alias("name")), "volume_id")
-            files.write_files(contents, args.out, actions.F.col("name"))
+            files.write_files(files.encode_bin(cut), args.out, name)
         return actions.DONE
     except (ValueError, FileNotFoundError) as wrong:
         print(wrong, file=sys.stderr)

@@ -42,6 +42,15 @@ def durable(df: DataFrame, kept: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder name for files in the shared folder, removed when the application ends."""
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    place, system = _place(spark, path)
+    system.mkdirs(place)
+    system.deleteOnExit(place)
+    return path
+
+
 def _place(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import durable
@@ -21,6 +21,8 @@ from .elementwise import diffusivity
 from .stencil import neighbours
 
 D0, D1 = 1.0, float(np.float32(0.001))
+#: Squared residual from which on a solution is given up.
+LOST = 1e11
 SIDES = ("xn", "xp", "yn", "yp", "zn", "zp")
 
 
@@ -80,7 +82,8 @@ def solve_relational(system_: DataFrame, dims: Dims, tolerance: float = 1e-6, ma
         sums = durable(state.groupBy("volume_id").agg(
             F.sum(F.col("r") * F.col("r")).alias("rr"), F.sum(F.col("rhs") * F.col("rhs")).alias("bb"), F.sum(F.col("r") * F.col("r") / F.col("c_diag")).alias("rz")
         ))
-        if done == max_iter or sums.where(F.col("rr") > tolerance**2 * F.col("bb")).isEmpty():
+        left = sums.where((F.col("rr") > tolerance**2 * F.col("bb")) & (F.col("rr") <= LOST))
+        if done == max_iter or left.isEmpty():
             return state.select(*KEY, "c"), done
         moved = spmv(state, dims, "p")
         curved = moved.groupBy("volume_id").agg(F.sum(F.col("p") * F.col("ax")).alias("pap"))
@@ -94,6 +97,41 @@ def solve_relational(system_: DataFrame, dims: Dims, tolerance: float = 1e-6, ma
     raise AssertionError
 
 
+def tortuosity_relational(mask: DataFrame, dims: Dims, name: str, tolerance: float = 1e-6, max_iter: int = 10000, d0: float = 1.0, d1: float = 0.001, non_uniform: bool = False) -> DataFrame:
+    """(volume_id, dir, tau, iterations, converged, porosity) of voxels, by solve_relational: for volumes beyond a task.
+
+    The same figures as of tortuosity; the next concentration upstream is a window over lines of voxels.
+    """
+    _, axis, sign = direction(name)
+    a = AXES[axis]
+    made = durable(system(mask, dims, name, d0, d1))
+    solved, steps = solve_relational(made, dims, tolerance, max_iter)
+    solved = durable(solved)
+    known = made.join(solved, KEY)
+    good = residual(known, dims, "c").select("volume_id", (F.col("rr") <= 100 * tolerance**2 * F.col("bb") + 1e-300).alias("converged"))
+    line = Window.partitionBy("volume_id", *[b for b in AXES if b != a]).orderBy(F.col(a) if sign > 0 else F.col(a).desc())
+    both = mask.select(*KEY, "v", F.when(F.col("v") > 0, F.lit(d1).cast("float").cast("double")).otherwise(F.lit(d0).cast("float").cast("double")).alias("d")).join(solved, KEY)
+    both = both.withColumn("ahead", F.lead("c").over(line)).withColumn("next", F.lead("v").over(line))
+    gap = F.when(F.col("ahead").isNull(), 0.5).otherwise(1.0)
+    pore = F.col("v") == 0
+    if non_uniform:
+        gap = F.when(F.col("next") > 0, 0.5).otherwise(gap)
+    flux = F.col("d") * (F.col("c") - F.coalesce("ahead", F.lit(0.0))) / gap
+    mean = F.sum(F.when(pore, flux)) / F.nullif(F.sum(pore.cast("long")), F.lit(0)) if non_uniform else F.avg(flux)
+    planes = both.groupBy("volume_id", a).agg(mean.alias("mean"), F.sum(pore.cast("long")).alias("pores"), F.count("*").alias("n"))
+    n = dims[axis]
+    whole = planes.groupBy("volume_id").agg((F.sum("pores") / F.sum("n")).alias("porosity"), F.when(F.count("mean") == n, F.avg("mean")).alias("mean"))
+    tau = F.when(F.col("converged"), F.col("porosity") / (F.col("mean") * n)).otherwise(0.0)
+    return whole.join(good, "volume_id").select("volume_id", F.lit(name).alias("dir"), tau.alias("tau"), F.lit(steps).cast("long").alias("iterations"), "converged", "porosity")
+
+
+def face_slice(concentration: DataFrame, dims: Dims, name: str) -> DataFrame:
+    """(volume_id, u, w, c): the concentrations on the face where a direction begins."""
+    k, axis, sign = direction(name)
+    u, w = AXES[(axis + 1) % 3], AXES[(axis + 2) % 3]
+    return concentration.where(F.col(AXES[axis]) == (0 if sign > 0 else dims[axis] - 1)).select("volume_id", F.col(u).alias("u"), F.col(w).alias("w"), "c")
+
+
 def concentration_profile(concentration: DataFrame, dims: Dims, name: str) -> DataFrame:
     """(volume_id, plane, mean) of the concentration along a direction."""
     _, axis, _ = direction(name)
@@ -179,7 +217,7 @@ def cg(s: Stack, tolerance: float = 1e-6, max_iter: int = 10000) -> tuple[np.nda
     p, rz, limit = z.copy(), _dot(r, z), tolerance**2 * _dot(s.b, s.b)
     for k in range(max_iter + 1):
         rr = _dot(r, r)
-        ok, lost = rr <= limit, ~(rr <= 1e11)
+        ok, lost = rr <= limit, ~(rr <= LOST)
         done = ok | lost | (k == max_iter)
         if done.any():
             solution[at[done]], good[at[done]], steps[at[done]] = x[done], ok[done], k
@@ -210,7 +248,7 @@ def bicgstab(s: Stack, tolerance: float = 1e-6, max_iter: int = 10000) -> tuple[
     norm, limit = _dot(r, r), tolerance**2 * _dot(s.b, s.b)
     for k in range(max_iter + 1):
         rr = _dot(r, r)
-        ok, lost = rr <= limit, ~(rr <= 1e11)
+        ok, lost = rr <= limit, ~(rr <= LOST)
         done = ok | lost | (k == max_iter)
         if done.any():
             solution[at[done]], good[at[done]], steps[at[done]] = x[done], ok[done], k

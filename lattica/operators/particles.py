@@ -8,7 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from ..graph import durable
 from ..volumes import AXES, XYZ, Dims
 
 SPHERE = "set_id long, id long, px double, py double, pz double, r double"
@@ -295,3 +298,36 @@ def rasterize_hulls(instances: DataFrame, dims: Dims) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["set_id", *XYZ])
 
     return instances.select("set_id", "id", "points").mapInArrow(run, "set_id long, x int, y int, z int").distinct()
+
+
+def convex_collisions(items: DataFrame, bins: float) -> DataFrame:
+    """Pairs (set_id, a, b) of convex items that meet, by separating axes for the pairs whose boxes do.
+
+    items: (set_id, id, points array<array<double>>). Each item's hull is made once; pairs meet by
+    overlapping's join in bins of the edge `bins`, and any executor tests a pair.
+    """
+    schema = "set_id long, id long, vertices array<array<double>>, faces array<array<int>>, " + ", ".join(f"{m}_{a} double" for m in ("min", "max") for a in AXES)
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def hulls(parts):
+        for part in parts:
+            out = []
+            for row in part.to_pylist():
+                v, f = convex_hull(np.array(row["points"]))
+                ends = {f"{m}_{a}": float(e[k]) for m, e in (("min", v.min(axis=0)), ("max", v.max(axis=0))) for k, a in enumerate(AXES)}
+                out.append({"set_id": row["set_id"], "id": row["id"], "vertices": v.tolist(), "faces": f.tolist()} | ends)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    made = durable(items.select("set_id", "id", "points").mapInArrow(hulls, schema))
+    pairs = overlapping(made, bins)
+    for side in "ab":
+        pairs = pairs.join(made.select("set_id", F.col("id").alias(side), F.col("vertices").alias(f"v{side}"), F.col("faces").alias(f"f{side}")), ["set_id", side])
+
+    def test(parts):
+        for part in parts:
+            met = [not separated(*map(np.array, row)) for row in zip(*(part.column(c).to_pylist() for c in ("va", "vb", "fa", "fb")))]
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in ("set_id", "a", "b")], names=["set_id", "a", "b"]).filter(pa.array(met, pa.bool_()))
+
+    return pairs.mapInArrow(test, "set_id long, a long, b long")

@@ -15,9 +15,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..graph import durable
 from ..volumes import BRICK, Dims
-from .particles import poisson_disk
+from .particles import overlapping, poisson_disk
 
 Distance = Callable[[np.ndarray], np.ndarray]
 
@@ -312,3 +314,61 @@ def rasterize_sets(packed: DataFrame, dims: Dims) -> DataFrame:
         return pa.table({"volume_id": table.column("set_id").slice(0, 1)} | {f"d{a}": pa.array([d], pa.int32()) for a, d in zip("xyz", dims)} | {"kind": ["<u1"], "data": pa.array([data.tobytes()], pa.binary())})
 
     return packed.groupBy("set_id").applyInArrow(build, BRICK)
+
+
+def _primitive(r: dict) -> Primitive:
+    return Primitive(np.array([r["sx"], r["sy"], r["sz"]]), np.array([r["px"], r["py"], r["pz"]]), np.array([r["qx"], r["qy"], r["qz"], r["qw"]]), r.get("kind") or "ellipsoid")
+
+
+def count_sets(items: DataFrame, dims: Dims) -> DataFrame:
+    """(set_id, in_union, in_all, in_void): how many voxels of [-1, 1]**3 have their centre in any, in all, in none of a set's items."""
+
+    def run(table: pa.Table) -> pa.Table:
+        held, low, high = [_primitive(r) for r in table.to_pylist()], np.array([-1.0] * 3), np.array([1.0] * 3)
+        p = low + (np.stack(np.meshgrid(*[np.arange(d) for d in dims], indexing="ij"), axis=-1).reshape(-1, 3) + 0.5) * (high - low) / np.array(dims)
+        counts = [int((f(p) < 0).sum()) for f in (union(held), intersection(held), void(held, low, high))]
+        return pa.table({"set_id": table.column("set_id").slice(0, 1)} | {c: pa.array([n], pa.int64()) for c, n in zip(("in_union", "in_all", "in_void"), counts)})
+
+    return items.groupBy("set_id").applyInArrow(run, "set_id long, in_union long, in_all long, in_void long")
+
+
+def with_bounds(items: DataFrame) -> DataFrame:
+    """items (kind, p, q and s columns) with the boxes around them, min_x .. max_z."""
+
+    def run(parts):
+        for part in parts:
+            ends = [_primitive(r).bounds() for r in part.to_pylist()]
+            columns = [pa.array([float(e[m][k]) for e in ends], pa.float64()) for m in (0, 1) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *BOUNDS])
+
+    return items.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in items.schema.fields), *(f"{b} double" for b in BOUNDS)]))
+
+
+BOUNDS = [f"{m}_{a}" for m in ("min", "max") for a in "xyz"]
+
+
+def overlap_volumes(items: DataFrame, bins: float, depth: int = 3) -> DataFrame:
+    """(set_id, id, shared): for each item the volume it shares with others, over all pairs whose bounds meet.
+
+    items: (set_id, id, kind, px .. pz, qx .. qw, sx .. sz). Pairs meet by overlapping's join in
+    bins of the edge `bins`; each pair's volume is found on its own, on any executor, and
+    summed by item. Items that meet no other have no row.
+    """
+    boxed = durable(with_bounds(items))
+    what = F.struct("kind", *[f"{c}{a}" for c, axes in (("p", "xyz"), ("q", "xyzw"), ("s", "xyz")) for a in axes])
+    described = boxed.select("set_id", "id", what.alias("what"))
+    pairs = overlapping(boxed, bins)
+    for side in "ab":
+        pairs = pairs.join(described.select("set_id", F.col("id").alias(side), F.col("what").alias(f"what_{side}")), ["set_id", side])
+
+    def run(parts):
+        for part in parts:
+            shared = []
+            for a, b in zip(part.column("what_a").to_pylist(), part.column("what_b").to_pylist()):
+                both = [_primitive(a), _primitive(b)]
+                box = meet(both[0].bounds(), both[1].bounds())
+                shared.append(volume_of(intersection(both), *box, depth) if box else 0.0)
+            yield pa.RecordBatch.from_arrays([part.column("set_id"), part.column("a"), part.column("b"), pa.array(shared, pa.float64())], names=["set_id", "a", "b", "shared"])
+
+    found = pairs.mapInArrow(run, "set_id long, a long, b long, shared double")
+    return found.select("set_id", F.explode(F.array("a", "b")).alias("id"), "shared").groupBy("set_id", "id").agg(F.sum("shared").alias("shared"))

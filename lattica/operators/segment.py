@@ -20,6 +20,11 @@ def spans(mask: DataFrame, background: float = 255) -> DataFrame:
     return runs.where(F.col("v") != background).select("volume_id", "y", "z", "x0", "x1")
 
 
+def most_spans(runs: DataFrame) -> DataFrame:
+    """(volume_id, most, total): the largest number of spans on a line of each volume, and the number of all."""
+    return runs.groupBy("volume_id", "y", "z").agg(F.count("*").alias("n")).groupBy("volume_id").agg(F.max("n").alias("most"), F.sum("n").alias("total"))
+
+
 def event_runs(events: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
     """(by, run, value, first, last, n): runs of equal values in each sequence, numbered from 1."""
     line = Window.partitionBy(by).orderBy(*order)

@@ -239,18 +239,18 @@ def mesh(mask: DataFrame, dims: Dims, iso: float = ISO) -> tuple[DataFrame, Data
     vertices: (volume_id, vertex, x, y, z, nx, ny, nz), equal positions merged and numbered from 1
     in order of position, normals summed and normalised. faces: (volume_id, a, b, c) by vertex.
     """
-    found = triangles(mask, dims, iso, isotropic=True).withColumn("t", F.monotonically_increasing_id())
+    found = triangles(mask, dims, iso, isotropic=True)
     centre = [d / max(dims) / 2 for d in dims]
     u = {a: F.col(f"b.{a}") - F.col(f"a.{a}") for a in AXES}
     w = {a: F.col(f"c.{a}") - F.col(f"a.{a}") for a in AXES}
     normal = F.struct((u["y"] * w["z"] - u["z"] * w["y"]).alias("x"), (u["z"] * w["x"] - u["x"] * w["z"]).alias("y"), (u["x"] * w["y"] - u["y"] * w["x"]).alias("z"))
-    place = lambda n: F.struct(*[F.round(F.col(f"{n}.{a}") - c, 9).alias(a) for a, c in zip(AXES, centre)])
+    place = lambda n: F.struct(*[(F.round(F.col(f"{n}.{a}") - c, 9) + 0.0).alias(a) for a, c in zip(AXES, centre)])
     placed = found.select("volume_id", *[place(n).alias(n) for n in "abc"], normal.alias("n"))
     split = placed.select("volume_id", F.explode(F.array(*[F.col(n) for n in "abc"])).alias("p"), "n")
     summed = split.groupBy("volume_id", "p").agg(*[F.sum(f"n.{a}").alias(f"n{a}") for a in AXES])
     length = F.sqrt(sum((F.col(f"n{a}") * F.col(f"n{a}") for a in AXES), F.lit(0.0)))
     vertices = summed.withColumn("vertex", F.row_number().over(Window.partitionBy("volume_id").orderBy("p"))).select(
-        "volume_id", "vertex", "p", *[F.coalesce(F.col(f"n{a}") / F.nullif(length, F.lit(0.0)), F.lit(0.0)).alias(f"n{a}") for a in AXES]
+        "volume_id", "vertex", "p", *[F.when(length > 1e-9, F.col(f"n{a}") / length).otherwise(0.0).alias(f"n{a}") for a in AXES]  # those that cancel out give none
     )
     faces = placed.select("volume_id", *"abc")
     for n in "abc":

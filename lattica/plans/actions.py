@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import diffusion, sdf, segment, surface
 from ..operators.particles import particles_for
 from ..operators.reshape import pad, window_origins
-from ..volumes import BRICK, Dims, direction, per_batch, stacks
+from ..volumes import BRICK, Dims, direction, per_batch, stacks, to_voxels
 
 #: Bytes that a task's solver may take.
 MEMORY = 1 << 30
@@ -21,15 +21,16 @@ DONE, FAILED, ABOVE_TARGET = 0, 1, 77
 
 
 def porosity(bricks: DataFrame) -> DataFrame:
-    """(volume_id, porosity) of whole-volume masks, no shuffle."""
+    """The porosity of each brick, beside all columns that say which it is; no shuffle."""
+    kept = [f for f in bricks.schema.fields if f.name not in ("dx", "dy", "dz", "kind", "data", "porosity")]
 
     def run(rows: pa.RecordBatch) -> dict:
         out = np.empty(rows.num_rows)
         for at, values in stacks(rows):
             out[at] = (values == 0).mean(axis=(1, 2, 3))
-        return {"volume_id": rows.column("volume_id"), "porosity": out}
+        return {f.name: rows.column(f.name) for f in kept} | {"porosity": out}
 
-    return per_batch(bricks, run, "volume_id long, porosity double")
+    return per_batch(bricks, run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), "porosity double"]))
 
 
 def tau(
@@ -37,16 +38,29 @@ def tau(
 ) -> DataFrame:
     """A row for each volume and direction: ID, dims, dir, porosity, precision, tau, tauIter, tauNU, tauSolver, tauTolerance.
 
-    Volumes whose solver would need more than MEMORY get tau 0, unless oversubscribed.
+    Volumes whose solver would need more than MEMORY in a task are solved by joins, a row for each
+    voxel, unless oversubscribed; these are always solved by CG in double precision.
     """
     kind = np.float32 if precision in ("float", "single", "f", "s") else np.float64
     solver = solver if solver in diffusion.SOLVERS else "CG"
     size = F.col("dx").cast("long") * F.col("dy") * F.col("dz")
-    fits = F.lit(True) if oversubscribe else size * diffusion.memory_needed(1, solver, kind) <= MEMORY
-    solved = diffusion.tortuosity(bricks.where(fits), names, solver, tolerance, max_iter, precision=precision, non_uniform=non_uniform)
+    solved = None
+    if not oversubscribe:
+        fits = size * diffusion.memory_needed(1, solver, kind) <= MEMORY
+        # One round of joins for each size of large volumes, of which there are few; the sizes alone reach the driver.
+        for dims in map(tuple, bricks.where(~fits).select("dx", "dy", "dz").distinct().collect()):
+            same = [F.col(f"d{a}") == d for a, d in zip("xyz", dims)]
+            large = to_voxels(bricks.where(same[0] & same[1] & same[2]))
+            for name in names:
+                found = diffusion.tortuosity_relational(large, dims, name, tolerance, max_iter, non_uniform=non_uniform)
+                solved = found if solved is None else solved.unionByName(found)
+        bricks_in_tasks = bricks.where(fits)
+    else:
+        bricks_in_tasks = bricks
+    small = diffusion.tortuosity(bricks_in_tasks, names, solver, tolerance, max_iter, precision=precision, non_uniform=non_uniform).drop("residual_ok")
+    solved = small if solved is None else small.unionByName(solved)
     shape = bricks.select("volume_id", F.col("dx").alias("dimx"), F.col("dy").alias("dimy"), F.col("dz").alias("dimz"))
-    every = shape.withColumn("dir", F.explode(F.array(*[F.lit(n) for n in names])))
-    rows = every.join(solved.drop("porosity"), ["volume_id", "dir"], "left").join(porosity(bricks), "volume_id")
+    rows = shape.join(solved, "volume_id")
     return rows.select(
         F.col("volume_id").cast("string").alias("ID"), F.lit("cpu").alias("device"), "dimx", "dimy", "dimz", "dir", F.col("porosity").cast("float").cast("double").alias("porosity"),
         F.lit("float" if kind is np.float32 else "double").alias("precision"), F.when(F.col("converged").isNull(), 0.0).otherwise(F.col("tau")).alias("tau"),

@@ -7,10 +7,10 @@ from ..operators.surface import CORNERS, EDGES, ISO, cases
 H = 0.25  # the grid step of the small volumes
 XYZ = ("x", "y", "z")
 
-EV = """ev AS (
+EV = """ev AS MATERIALIZED (
     SELECT vec_id::BIGINT AS volume_id, (i % 4)::INT AS x, ((i // 4) % 4)::INT AS y, (i // 16)::INT AS z, embedding[i + 1]::DOUBLE AS v
     FROM embeddings, range(0, 64) t(i)
-), evm AS (SELECT volume_id, x, y, z, (CASE WHEN v < 0 THEN 0 ELSE 255 END)::INT AS v FROM ev)"""
+), evm AS MATERIALIZED (SELECT volume_id, x, y, z, (CASE WHEN v < 0 THEN 0 ELSE 255 END)::INT AS v FROM ev)"""
 
 LV = """lvc AS (
     SELECT (l_partkey % 32)::INT AS x, (l_suppkey % 32)::INT AS y, (l_orderkey % 32)::INT AS z, count(*) AS n FROM lineitem GROUP BY ALL
@@ -112,3 +112,13 @@ def diffusion(axis: int, sign: int) -> str:
     return f"""{EV}, d AS (SELECT volume_id, x, y, z, CASE WHEN v > 0 THEN 0.001::FLOAT::DOUBLE ELSE 1::DOUBLE END AS v FROM evm),
 nb AS (SELECT *, {neighbour_columns(4, 'none')} FROM d),
 sys AS (SELECT volume_id, x, y, z, {coefficients}, 0 {diagonal} AS c_diag, {rhs} AS rhs, {start} AS x0 FROM nb)"""
+
+
+#: CTEs that end in `summed` (volume_id, x, y, z, nx, ny, nz, l): the merged vertices of the small masks' surfaces.
+VERTICES = f"""{areas('evm', 4)}, corners AS (
+    SELECT volume_id, unnest([e0, e1, e2]) AS e, px, py, pz, py[e1 + 1] AS y1, py[e0 + 1] AS y0, py[e2 + 1] AS y2, pz[e1 + 1] AS z1, pz[e0 + 1] AS z0, pz[e2 + 1] AS z2,
+        px[e1 + 1] AS x1, px[e0 + 1] AS x0, px[e2 + 1] AS x2 FROM points JOIN tri USING (cubeindex)
+), placed AS (
+    SELECT volume_id, round(px[e + 1] - 0.5, 9) + 0.0 AS x, round(py[e + 1] - 0.5, 9) + 0.0 AS y, round(pz[e + 1] - 0.5, 9) + 0.0 AS z,
+        (y1 - y0) * (z2 - z0) - (z1 - z0) * (y2 - y0) AS nx, (z1 - z0) * (x2 - x0) - (x1 - x0) * (z2 - z0) AS ny, (x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0) AS nz FROM corners
+), summed AS (SELECT volume_id, x, y, z, sum(nx) AS nx, sum(ny) AS ny, sum(nz) AS nz, sqrt(sum(nx) ** 2 + sum(ny) ** 2 + sum(nz) ** 2) AS l FROM placed GROUP BY volume_id, x, y, z)"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import random
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,35 +12,18 @@ from ..operators import diffusion, elementwise, particles, reduce, reshape, sdf,
 from ..volumes import KEY, LARGE, SMALL, XYZ, directions, from_linear, large_mask, large_volume, linear_index, small_bricks, small_masks, small_volumes, table, to_bricks, to_voxels
 from ..volumes import particles as part_spheres
 from . import actions
-from .oracle import CCL, EV, LV, PT, areas, cells, neighbour_columns
+from .oracle import CCL, EV, LV, PT, VERTICES, areas, cells, neighbour_columns
 from .oracle import diffusion as diffusion_sql
+from .registry import ORACLE_SQL, QUERIES, query, rounded
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
 AXIS_DIRS = ["X_POS", "Y_POS", "Z_POS"]
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 def shifted(vox: DataFrame, by: int = 1) -> DataFrame:
     """Each volume under the id of the one `by` before it."""
     return vox.withColumn("volume_id", F.col("volume_id") - by)
 
 
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    """Columns rounded, with -0.0 as 0.0."""
-    return df.withColumns({c: F.round(c, digits) + 0.0 for c in columns})
-
-
 # Scans and the data model.
 
 
@@ -295,13 +278,7 @@ def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LV} SELECT volume_id, ox::INT AS originx, oy::INT AS originy, oz::INT AS originz, count(*) FILTER (WHERE v = 0) / count(*)::DOUBLE AS porosity FROM lvm, range(0, 17, 4) a(ox), range(0, 17, 4) b(oy), range(0, 17, 4) c(oz) WHERE ox + 16 <= 31 AND oy + 16 <= 31 AND oz + 16 <= 31 AND x BETWEEN ox AND ox + 15 AND y BETWEEN oy AND oy + 15 AND z BETWEEN oz AND oz + 15 GROUP BY ALL")
 def slice_porosity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bricks = to_bricks(large_mask(spark, sf_dir), LARGE)
-    cut = actions.cut_windows(bricks, (16, 16, 16), (4, 4, 4))
-    place = F.struct("volume_id", "originx", "originy", "originz")
-    numbered = cut.withColumn("volume_id", F.xxhash64(place))
-    names = cut.select(F.xxhash64(place).alias("key"), "volume_id", "originx", "originy", "originz")
-    measured = actions.porosity(numbered).withColumnRenamed("volume_id", "key")
-    return names.join(measured, "key").drop("key")
+    return actions.porosity(actions.cut_windows(to_bricks(large_mask(spark, sf_dir), LARGE), (16, 16, 16), (4, 4, 4)))
 
 
 # Neighbours.
@@ -473,10 +450,10 @@ def mc_mesh_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surface.triangles(small_masks(spark, sf_dir), SMALL).groupBy("volume_id").agg((3 * F.count("*")).alias("corners"))
 
 
-@query()
+@query(f"WITH {EV}, {VERTICES} SELECT volume_id, row_number() OVER (PARTITION BY volume_id ORDER BY x, y, z) AS vertex, x, y, z, " + ", ".join(f"CASE WHEN l > 1e-9 THEN round(n{a} / l, 6) + 0.0 ELSE 0 END AS n{a}" for a in XYZ) + " FROM summed")
 def mc_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
     vertices, _ = surface.mesh(small_masks(spark, sf_dir), SMALL)
-    return vertices
+    return rounded(vertices, "nx", "ny", "nz")
 
 
 # Diffusion.
@@ -545,14 +522,8 @@ def sphere_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SUMS = "count(*) AS n, round(sum(4 * pi() * r * r), 6) AS surface, round(sum(4 / 3::DOUBLE * pi() * r * r * r), 6) AS volume"
 
 
-@query(f"WITH {PT}, s AS (SELECT {_SUMS} FROM pt WHERE id < 200) SELECT 0::BIGINT AS set_id, n, surface, volume, round(1 / sqrt(1 - volume), 4) AS tau FROM s")
-def sphere_analytic_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = particles.sphere_sums(part_spheres(spark, sf_dir).where("id < 200"))
-    return made.select("set_id", "n", F.round("surface", 6).alias("surface"), F.round("volume", 6).alias("volume"), F.round("tau", 4).alias("tau"))
-
-
 @query(f"WITH {PT}, s AS (SELECT {_SUMS} FROM pt) SELECT 0::BIGINT AS set_id, n, surface, volume, CASE WHEN volume < 1 THEN round(1 / sqrt(greatest(1 - volume, 1e-300)), 4) END AS tau FROM s")
-def sphere_analytic_tau_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sphere_analytic_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = particles.sphere_sums(part_spheres(spark, sf_dir))
     return made.select("set_id", "n", F.round("surface", 6).alias("surface"), F.round("volume", 6).alias("volume"), F.round("tau", 4).alias("tau"))
 
@@ -576,15 +547,8 @@ def trimmed_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(particles.bounds(kept), *[f"{m}_{a}" for m in ("min", "max") for a in XYZ])
 
 
-@query(f"WITH {PT}, o AS (SELECT 0::BIGINT AS set_id, a.id, count(*)::DOUBLE AS overlap FROM pt a JOIN pt b ON a.id <> b.id AND {_BOX} WHERE a.id < 200 AND b.id < 200 GROUP BY a.id) SELECT set_id, id, overlap FROM o ORDER BY overlap DESC, id LIMIT 1")
-def argmax_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = particles.overlapping(particles.boxes(part_spheres(spark, sf_dir).where("id < 200")), 0.11)
-    ends = pairs.select("set_id", F.explode(F.array("a", "b")).alias("id"))
-    return particles.largest_overlap(ends.groupBy("set_id", "id").agg(F.count("*").cast("double").alias("overlap")))
-
-
 @query(f"WITH {PT}, o AS (SELECT 0::BIGINT AS set_id, a.id, count(*)::DOUBLE AS overlap FROM pt a JOIN pt b ON a.id <> b.id AND {_BOX} GROUP BY a.id) SELECT set_id, id, overlap FROM o ORDER BY overlap DESC, id LIMIT 1")
-def argmax_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def argmax_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = particles.overlapping(particles.boxes(part_spheres(spark, sf_dir)), 0.11)
     ends = pairs.select("set_id", F.explode(F.array("a", "b")).alias("id"))
     return particles.largest_overlap(ends.groupBy("set_id", "id").agg(F.count("*").cast("double").alias("overlap")))
@@ -646,9 +610,16 @@ def packed_ellipsoids(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Whole measures.
 
 
-@query()
+_ALPHA_DIRS = "dirs(dir) AS (VALUES ('X_POS'), ('X_NEG')), dm AS (SELECT c.volume_id, dir, c.x, c.y, c.z, CASE WHEN (CASE dir WHEN 'X_POS' THEN f.x_pos ELSE f.x_neg END) THEN 255 ELSE 0 END AS v FROM ccl c CROSS JOIN dirs LEFT JOIN allfaces f USING (volume_id, label) UNION ALL SELECT volume_id, 'DIR_NONE', x, y, z, v FROM evm)"
+
+
+@query(f"""WITH RECURSIVE {CCL}, {_ALPHA_DIRS}, {areas('dm', 4, 'volume_id, dir')}
+    SELECT v.volume_id::VARCHAR AS ID, 4 AS dimx, 4 AS dimy, 4 AS dimz, v.dir, p.porosity, round(coalesce(a.area, 0), 6) AS rad, coalesce(s.ratio, 0)::DOUBLE AS segmentVolumeRatio
+    FROM (SELECT DISTINCT volume_id, dir FROM dm) v LEFT JOIN areas a USING (volume_id, dir)
+    JOIN (SELECT volume_id, count(*) FILTER (WHERE v = 0) / 64::DOUBLE AS porosity FROM evm GROUP BY ALL) p USING (volume_id)
+    LEFT JOIN (SELECT i.volume_id, sum(i.voxel_num) / 64::DOUBLE AS ratio FROM info i JOIN allfaces f USING (volume_id, label) WHERE NOT f.dir_none GROUP BY ALL) s USING (volume_id)""")
 def alpha_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return actions.alpha(small_bricks(spark, sf_dir), ["X_POS", "X_NEG"], segments=True)
+    return rounded(actions.alpha(small_bricks(spark, sf_dir), ["X_POS", "X_NEG"], segments=True), "rad")
 
 
 @query(f"WITH RECURSIVE {CCL}, {areas('evm', 4)} SELECT m.volume_id, m.porosity, coalesce(n.n, 0)::BIGINT AS n_components, round(coalesce(a.area, 0), 6) AS area FROM (SELECT volume_id, count(*) FILTER (WHERE v = 0) / count(*)::DOUBLE AS porosity FROM evm GROUP BY ALL) m LEFT JOIN (SELECT volume_id, max(label) AS n FROM ccl GROUP BY ALL) n USING (volume_id) LEFT JOIN areas a USING (volume_id)")
@@ -715,7 +686,11 @@ def inverse_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(moved.select("id", *[c.alias(a) for c, a in zip(back, XYZ)]), *XYZ)
 
 
-@query()
+_DRAW = random.Random(7)
+_PLACE = [_DRAW.randint(0, 16) for _ in XYZ]
+
+
+@query(f"WITH {LV} SELECT volume_id, " + ", ".join(f"({a} - {o})::INT AS {a}" for a, o in zip(XYZ, _PLACE)) + ", v FROM lv WHERE " + " AND ".join(f"{a} BETWEEN {o} AND {o + 15}" for a, o in zip(XYZ, _PLACE)))
 def random_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshape.random_crop(large_volume(spark, sf_dir), LARGE, (16, 16, 16), seed=7)
 
@@ -728,3 +703,6 @@ def mc_case_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def poisson_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(particles.poisson_disk(0.15, 50, seed=1))], "id long, px double, py double, pz double")
+
+
+from . import file_queries, shape_queries  # noqa: E402, F401  (they register theirs)

@@ -129,3 +129,23 @@ def test_arriving_volumes(spark, tmp_path, volume):
     found = spark.read.parquet(str(out))
     assert found.count() == 2 and found.select("volume_id").distinct().count() == 2
     assert SMALL == (4, 4, 4)
+
+
+def test_files_are_written_by_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    content = spark.range(20, numPartitions=4).select("id", F.concat(F.lit("file "), F.col("id")).cast("binary").alias("content"))
+    assert files.write_files(content, str(tmp_path / "out"), F.concat(F.col("id").cast("string"), F.lit(".txt"))) == 20
+    assert files.write_files(content, f"file:{tmp_path}/out", F.concat(F.col("id").cast("string"), F.lit(".txt"))) == 20
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted(f"{k}.txt" for k in range(20))
+    assert (tmp_path / "out" / "7.txt").read_bytes() == b"file 7"
+    assert files._write_from_driver(content.select(F.lit("last").alias("name"), "content").limit(1), str(tmp_path)) == 1
+
+
+def test_primitives_share_shapes(spark, tmp_path):
+    rows = [(0, k, 0.5 * k, 0.0, 0.0, 1.0, 2.0, 3.0 + k % 2) for k in range(10)]
+    made = spark.createDataFrame(rows, "set_id long, id long, px double, py double, pz double, sx double, sy double, sz double")
+    files.write_primitives(made, str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p" / "shapes")).count() == 2
+    back = files.read_primitives(spark, str(tmp_path / "p")).select(*made.columns).collect()
+    assert sorted(map(tuple, back)) == rows

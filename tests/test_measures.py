@@ -136,3 +136,22 @@ def test_partition_meshes(spark):
     vox = to_voxels(segment.label_bricks(_bricks(spark, [mask]))).withColumnRenamed("v", "label")
     made = actions.partition_meshes(vox.withColumn("label", vox.label.cast("long")), SMALL, "x")
     assert made["pos"][0].count() == 0 and made["neg"][0].count() > 0 and made["neg"][1].count() > 0
+
+
+def test_tortuosity_by_joins_agrees(spark, monkeypatch):
+    """Volumes whose solver does not fit into a task are solved by joins, with the same figures."""
+    from lattica.operators import diffusion
+    from lattica.plans import actions
+    from lattica.volumes import BRICK
+
+    draw = np.random.default_rng(4)
+    rows = [(k, 4, 3, 5, "<u1", np.where(draw.random((5, 3, 4)) < 0.4, 255, 0).astype(np.uint8).tobytes()) for k in range(3)]
+    bricks = spark.createDataFrame(rows, BRICK)
+    small = {(r.ID, r.dir): (r.tau, r.porosity) for r in actions.tau(bricks, ["X_POS", "Y_NEG"], tolerance=1e-8).collect()}
+    monkeypatch.setattr(actions, "MEMORY", 1)
+    large = {(r.ID, r.dir): (r.tau, r.porosity) for r in actions.tau(bricks, ["X_POS", "Y_NEG"], tolerance=1e-8).collect()}
+    assert large.keys() == small.keys() and len(small) == 6
+    for key, figures in small.items():
+        assert large[key] == pytest.approx(figures, rel=1e-5)
+    assert actions.tau(bricks, ["X_POS"], oversubscribe=True).count() == 3
+    assert diffusion.memory_needed(10, "BICGSTAB", np.float32) == 360
