@@ -107,7 +107,7 @@ def format_trees(messages: DataFrame, branches: int | None = None, learn: str =
     are [start, end) code points under the loss mask. A conversation is one value, so one task
     holds all of its text; a table without messages gives no row.
     """
-    chosen = paths(messages, branches)
+    chosen = paths(durable(messages.select("tree", "node", "parent", "score")), branches)  # read several times, and without texts
     said = messages.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turn = F.struct((-F.col("place")).alias("at"), "role", "text")
     whole = chosen.join(said, ["tree", "node"]).groupBy("tree", "path", "branch", "score").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
