@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable
+
 #: The dropped lines' keys are broadcast up to so many bytes; beyond, both sides are shuffled.
 BROADCAST = 32 << 20
+#: Parts of each host's pages where they are shuffled.
+SALTS = 32
 
 
 def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.02, min_pages: int = 5, distinct_texts: bool = False) -> DataFrame:
@@ -33,12 +37,18 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     counted = pages.select("_lattica_host", F.explode("_lattica_keys").alias("_lattica_key")).groupBy("_lattica_host", "_lattica_key").agg(F.count("*").alias("_lattica_n")).where(F.col("_lattica_n") >= min_pages)
     total = total.withColumnRenamed("_lattica_host", "_lattica_of")
     often = counted.join(total, F.col("_lattica_host").eqNullSafe(F.col("_lattica_of"))).where(F.col("_lattica_n") > F.col("_lattica_pages") * ratio)
-    drops = often.groupBy(F.col("_lattica_host").alias("_lattica_of")).agg(F.collect_set("_lattica_key").alias("_lattica_drops")).persist()
+    drops = often.groupBy(F.col("_lattica_host").alias("_lattica_of")).agg(F.collect_set("_lattica_key").alias("_lattica_drops"))
+    drops = durable(drops)
     size = drops.agg(F.sum(F.size("_lattica_drops") * 32 + 64)).first()[0] or 0
+    kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    rows, same = docs.select(*kept_columns), F.col(host_col).eqNullSafe(F.col("_lattica_of"))
     if size <= BROADCAST:
         drops = F.broadcast(drops)  # its size has been checked
-    kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*kept_columns).join(drops, F.col(host_col).eqNullSafe(F.col("_lattica_of")), "left")
+    else:  # a hot host's pages are dealt over SALTS tasks
+        drops = drops.withColumn("_lattica_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("_lattica_at", F.pmod(F.xxhash64(text_col), F.lit(SALTS)).cast("int"))
+        same &= F.col("_lattica_at") == F.col("_lattica_salt")
+    joined = rows.join(drops, same, "left")
     lines = F.split(text_col, "\n")
     kept = F.when(F.col("_lattica_drops").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("_lattica_drops", F.unhex(F.md5(x)))))
     out = joined.withColumn("_lattica_kept", kept)
