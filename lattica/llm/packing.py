@@ -53,9 +53,9 @@ def byte_bpe(path: str) -> Callable[[str], np.ndarray]:
     def encode(text: str) -> np.ndarray:
         try:
             return fast.encode_to_numpy(text, allowed_special="all")
-        except (KeyboardInterrupt, SystemExit):
-            raise
-        except BaseException:  # its panics are no Exception
+        except BaseException as wrong:
+            if not isinstance(wrong, Exception) and type(wrong).__name__ != "PanicException":  # its panics are no Exception
+                raise
             return ask(text)
 
     return encode
@@ -223,9 +223,10 @@ def plan(counts: dict[int, int], room: int) -> dict[str, np.ndarray]:
 def place(rows: DataFrame, room: int) -> DataFrame:
     """rows, with a length from 1 to room, doc_id and piece, plus sequence_id and offset.
 
-    The number of rows of each length, at most `room` figures, is all that reaches the driver.
+    The number of rows of each length, at most `room` figures, is collected on the driver.
     Rows of one length are numbered in PARTS parts by a hash of their ids, so that a length that
-    most documents share is no task's burden.
+    most documents share is no task's burden. Where each part begins, at most room * PARTS rows,
+    is joined on the parts, by which the rows are dealt already.
     """
     spark = rows.sparkSession
     part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int")
@@ -236,7 +237,7 @@ def place(rows: DataFrame, room: int) -> DataFrame:
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_part.select("length", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
     within = Window.partitionBy("length", "_part").orderBy(*[c for c in rows.columns if c not in ("length", "_part")])
-    ranked = rows.withColumn("_rank", F.row_number().over(within) - 1).join(F.broadcast(starts), ["length", "_part"])
+    ranked = rows.withColumn("_rank", F.row_number().over(within) - 1).join(starts, ["length", "_part"])
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_first"))
     kept = [c for c in rows.columns if c != "_part"]
 
