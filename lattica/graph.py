@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -85,6 +85,21 @@ def roots(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None)
     return label
 
 
+def numbered(rows: DataFrame, by: str, order: list[str], name: str) -> DataFrame:
+    """rows with a column `name`: each row's place, from 1, in its group `by` in the order of `order`.
+
+    For groups of any size: rows are dealt by ranges of (by, *order), so that no task holds a
+    whole group, numbered within each range, and moved on by what the group has in earlier ones.
+    """
+    part, n, before = "_lattica_part", "_lattica_n", "_lattica_before"
+    dealt = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), by, *order)
+    dealt = durable(dealt.withColumn(part, F.spark_partition_id()))
+    earlier = Window.partitionBy(by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(by, part).agg(F.count("*").alias(n)).select(by, part, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    place = F.row_number().over(Window.partitionBy(by, part).orderBy(*order)) + F.col(before)
+    return dealt.join(counts, [by, part]).withColumn(name, place.cast("long")).drop(part, before)
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
     return edges.select(F.explode(ways).alias("e")).select("e.a", "e.b")
@@ -105,7 +120,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     label = durable(_both_ways(edges).select(F.col("a").alias("node"), F.col("a").alias("component")).distinct(), old)
     while not edges.isEmpty():
         used, old = old, []
-        hook = durable(_both_ways(edges).groupBy("a").agg(F.min("b").alias("to")).where("to < a"), used)
+        hook = _both_ways(edges).groupBy("a").agg(F.min("b").alias("to")).where("to < a")  # read twice below, shuffled once
         further = hook.select(F.col("a").alias("to"), F.col("to").alias("further"))
         hook = durable(hook.join(further, "to", "left").select("a", F.coalesce("further", "to").alias("to")), used)
         for side, other in (("a", "b"), ("b", "a")):

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..graph import connected_components, roots
+from ..graph import connected_components, numbered, roots
 from ..volumes import AXES, BRICK, DIRECTIONS, KEY, XYZ, Dims, per_batch, stacks
 
 
@@ -57,7 +57,7 @@ def label_voxels(mask: DataFrame, background: float = 255) -> DataFrame:
     found = connected_components(span_edges(runs))
     rooted = runs.withColumn("node", node).join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
     firsts = rooted.select("volume_id", "root").distinct()
-    ranked = firsts.withColumn("label", F.row_number().over(Window.partitionBy("volume_id").orderBy("root")).cast("long"))
+    ranked = numbered(firsts, "volume_id", ["root"], "label")
     labelled = rooted.join(ranked, ["volume_id", "root"])
     inside = labelled.select("volume_id", F.explode(F.sequence("x0", "x1")).alias("x"), "y", "z", "label")
     return mask.select(*KEY).join(inside, KEY, "left").select(*KEY, F.coalesce("label", F.lit(0)).cast("long").alias("label"))
@@ -188,7 +188,7 @@ def compact_index(vox: DataFrame, selected, dims: Dims) -> DataFrame:
     """(volume_id, linear, dense): selected voxels numbered from 0 in linear order."""
     linear = (F.col("x") + F.col("y") * dims[0] + F.col("z") * (dims[0] * dims[1])).cast("long")
     chosen = vox.where(selected).select("volume_id", linear.alias("linear"))
-    return chosen.withColumn("dense", (F.row_number().over(Window.partitionBy("volume_id").orderBy("linear")) - 1).cast("long"))
+    return numbered(chosen, "volume_id", ["linear"], "dense").select("volume_id", "linear", (F.col("dense") - 1).alias("dense"))
 
 
 def dense_relabel(rows: DataFrame, root: str, by: str = "volume_id") -> DataFrame:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..graph import numbered
 from ..volumes import AXES, XYZ, Dims, per_batch, stacks
 from . import segment
 
@@ -249,7 +250,7 @@ def mesh(mask: DataFrame, dims: Dims, iso: float = ISO) -> tuple[DataFrame, Data
     split = placed.select("volume_id", F.explode(F.array(*[F.col(n) for n in "abc"])).alias("p"), "n")
     summed = split.groupBy("volume_id", "p").agg(*[F.sum(f"n.{a}").alias(f"n{a}") for a in AXES])
     length = F.sqrt(sum((F.col(f"n{a}") * F.col(f"n{a}") for a in AXES), F.lit(0.0)))
-    vertices = summed.withColumn("vertex", F.row_number().over(Window.partitionBy("volume_id").orderBy("p"))).select(
+    vertices = numbered(summed, "volume_id", ["p"], "vertex").select(
         "volume_id", "vertex", "p", *[F.when(length > 1e-9, F.col(f"n{a}") / length).otherwise(0.0).alias(f"n{a}") for a in AXES]  # those that cancel out give none
     )
     faces = placed.select("volume_id", *"abc")

@@ -155,3 +155,23 @@ def test_tortuosity_by_joins_agrees(spark, monkeypatch):
         assert large[key] == pytest.approx(figures, rel=1e-5)
     assert actions.tau(bricks, ["X_POS"], oversubscribe=True).count() == 3
     assert diffusion.memory_needed(10, "BICGSTAB", np.float32) == 360
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_numbers_within_groups_of_any_size(spark, partitions):
+    from lattica.graph import numbered
+
+    draw = np.random.default_rng(2)
+    rows = [(int(g), int(k)) for g, k in zip(draw.integers(0, 3, 500), draw.permutation(500))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = sorted(tuple(r) for r in numbered(spark.createDataFrame(rows, "g long, k long"), "g", ["k"], "place").select("g", "k", "place").collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want, seen = [], {}
+    for g, k in sorted(rows):
+        seen[g] = seen.get(g, 0) + 1
+        want.append((g, k, seen[g]))
+    assert got == want
+    assert numbered(spark.createDataFrame([], "g long, k long"), "g", ["k"], "place").count() == 0
