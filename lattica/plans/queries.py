@@ -598,12 +598,12 @@ def random_spheres(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def largest_radii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return particles.radius_table(spark.range(10, 50, 10, 4).withColumnRenamed("id", "n"), max_tries=500)
+    return particles.radius_table(spark.range(10, 50, 10, 4).withColumnRenamed("id", "n"))
 
 
 @query()
 def packed_ellipsoids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = spark.createDataFrame([(k, 4, 0.4, 0.4, 0.4, k, 20, 0.9, 0.03) for k in range(4)], "set_id long, n int, sx double, sy double, sz double, seed long, max_iter int, schedule double, target double")
+    sets = spark.createDataFrame([(k, 4, 0.4, 0.4, 0.4, k, 2000, 0.99, 0.03) for k in range(4)], "set_id long, n int, sx double, sy double, sz double, seed long, max_iter int, schedule double, target double")
     return sdf.pack_sets(sets.repartition(4))
 
 
