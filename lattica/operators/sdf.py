@@ -344,6 +344,16 @@ def with_bounds(items: DataFrame) -> DataFrame:
     return items.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in items.schema.fields), *(f"{b} double" for b in BOUNDS)]))
 
 
+def total_volumes(items: DataFrame, depth: int = 3, parts: int = 4) -> DataFrame:
+    """(set_id, volume, porosity) of the union of each set's items in [-1, 1]**3. A set is one task's work."""
+
+    def run(table: pa.Table) -> pa.Table:
+        volume = total_volume([_primitive(r) for r in table.to_pylist()], np.array([-1.0] * 3), np.array([1.0] * 3), depth, parts)
+        return pa.table({"set_id": table.column("set_id").slice(0, 1), "volume": pa.array([volume], pa.float64()), "porosity": pa.array([1 - volume / 8], pa.float64())})
+
+    return items.groupBy("set_id").applyInArrow(run, "set_id long, volume double, porosity double")
+
+
 BOUNDS = [f"{m}_{a}" for m in ("min", "max") for a in "xyz"]
 
 

@@ -10,7 +10,8 @@ from ..functions import scalars
 from ..operators import diffusion, elementwise, particles, sdf, segment, surface
 from ..volumes import LARGE, SMALL, XYZ, large_mask, large_volume, small_bricks, small_masks, table, to_voxels
 from ..volumes import particles as part_spheres
-from .oracle import EV, LV, PT
+from . import actions
+from .oracle import CCL, EV, LV, PT, VERTICES, areas
 from .oracle import diffusion as diffusion_sql
 from .registry import query, rounded
 
@@ -125,6 +126,27 @@ def overlap_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sdf.overlap_volumes(items, 0.11), "shared", digits=9)
 
 
+@query(f"WITH {PT}, {_voxels(16)}, i AS (SELECT id % 16 AS set_id, x, y, z, bool_or(" + " AND ".join(f"abs((g.{a} + 0.5) / 8 - 2 * p{a}) < 4 * r" for a in XYZ) + ") AS held FROM pt, g GROUP BY ALL) "
+       "SELECT set_id::BIGINT AS set_id, round(count(*) FILTER (WHERE held) / 512::DOUBLE, 6) AS volume, round(1 - count(*) FILTER (WHERE held) / 4096::DOUBLE, 6) + 0.0 AS porosity FROM i GROUP BY ALL")
+def set_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cubes in 4**3 boxes of octrees of depth 2: as many cells of the last level as have their centre inside."""
+    items = _ellipsoids(spark, sf_dir, F.col("id") % 16, 4 * F.col("r")).withColumn("kind", F.lit("box")).withColumn("sy", F.col("sx"))
+    return rounded(sdf.total_volumes(items, 2, 4), "volume", "porosity")
+
+
+@query("""SELECT s AS schedule, k::INT AS step, round(CASE s WHEN 'linear' THEN 1 - k / 50.0::DOUBLE WHEN 'quadratic' THEN (1 - k / 50.0::DOUBLE) ** 2 WHEN 'exp' THEN exp(-5 * k / 50.0::DOUBLE) ELSE 2 * 0.9::DOUBLE ** k END, 9) + 0.0 AS heat,
+    round(CASE WHEN s = 'linear' AND k = 50 OR s = 'quadratic' AND k = 50 THEN 0 ELSE exp(-0.5 / CASE s WHEN 'linear' THEN 1 - k / 50.0::DOUBLE WHEN 'quadratic' THEN (1 - k / 50.0::DOUBLE) ** 2 WHEN 'exp' THEN exp(-5 * k / 50.0::DOUBLE) ELSE 2 * 0.9::DOUBLE ** k END) END, 6) AS chance
+    FROM (VALUES ('linear'), ('quadratic'), ('exp'), ('geometric')) t(s), range(0, 51) r(k)""")
+def cooling_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The temperature at each of 50 steps, and the probability of taking a state that is worse by a half."""
+    rows = []
+    for name in ("linear", "quadratic", "exp", "geometric"):
+        for k in range(51):
+            heat = sdf.geometric(2.0, 0.9, k) if name == "geometric" else sdf.temperature(name, k, 50)
+            rows.append((name, k, heat, sdf.accept(1.0, 1.5, heat)))
+    return rounded(rounded(spark.createDataFrame(rows, "schedule string, step int, heat double, chance double"), "heat", digits=9), "chance")
+
+
 _CORNERS = F.array(*[F.array(*[F.col(f"p{a}") + s * F.col("r") for a, s in zip(XYZ, signs)]) for signs in ((x, y, z) for x in (-1, 1) for y in (-1, 1) for z in (-1, 1))])  # of a cube around each part
 
 
@@ -211,3 +233,33 @@ def concentration_face(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_dense(0, 1)} SELECT volume_id, x AS plane, round(avg(c), 6) + 0.0 AS mean FROM solved GROUP BY ALL")
 def concentration_profile_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(diffusion.concentration_profile(_solved(spark, sf_dir, "X_POS"), SMALL, "X_POS"), "mean")
+
+
+# Meshes.
+
+
+_POINT = ", ".join(f"round(p{a}[e{k} + 1] - 0.5, 9) + 0.0 AS {n}{a}" for k, n in enumerate("abc") for a in XYZ)
+_ON = " ".join(f"JOIN v v{n} ON v{n}.volume_id = f.volume_id AND " + " AND ".join(f"v{n}.{a} = f.{n}{a}" for a in XYZ) for n in "abc")
+
+
+@query(f"""WITH {EV}, {VERTICES}, v AS (SELECT volume_id, x, y, z, row_number() OVER (PARTITION BY volume_id ORDER BY x, y, z) AS vertex FROM summed), f AS (SELECT volume_id, {_POINT} FROM points JOIN tri USING (cubeindex))
+    SELECT f.volume_id, va.vertex AS a, vb.vertex AS b, vc.vertex AS c FROM f {_ON}""")
+def mc_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, faces = surface.mesh(small_masks(spark, sf_dir), SMALL)
+    return faces
+
+
+_PARTS = "pm AS (SELECT g.volume_id, part, g.x, g.y, g.z, CASE WHEN inner_.here THEN 255 ELSE 0 END AS v FROM g LEFT JOIN inner_ USING (volume_id, part, x, y, z))"
+
+
+@query(f"""WITH RECURSIVE {CCL}, parts AS (SELECT volume_id, label, CASE WHEN z_pos AND z_neg THEN 'mid' WHEN z_pos THEN 'pos' ELSE 'neg' END AS part FROM allfaces WHERE NOT dir_none AND (z_pos OR z_neg)),
+    inner_ AS (SELECT volume_id, part, x + 1 AS x, y + 1 AS y, z + 1 AS z, TRUE AS here FROM ccl JOIN parts USING (volume_id, label)),
+    g AS (SELECT vec_id::BIGINT AS volume_id, part, (i % 6)::INT AS x, ((i // 6) % 6)::INT AS y, (i // 36)::INT AS z FROM embeddings, (VALUES ('pos'), ('neg'), ('mid')) t(part), range(0, 216) r(i)),
+    {_PARTS}, {areas('pm', 6, 'volume_id, part')} SELECT volume_id, part, count(*) AS faces FROM sides GROUP BY ALL""")
+def partition_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = to_voxels(segment.label_bricks(small_bricks(spark, sf_dir))).withColumn("label", F.col("v").cast("long")).drop("v")
+    out = None
+    for name, (_, faces) in actions.partition_meshes(labels, SMALL, "z").items():
+        counted = faces.groupBy("volume_id").agg(F.count("*").alias("faces")).select("volume_id", F.lit(name).alias("part"), "faces")
+        out = counted if out is None else out.union(counted)
+    return out
