@@ -147,23 +147,28 @@ def cooling_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(spark.createDataFrame(rows, "schedule string, step int, heat double, chance double"), "heat", digits=9), "chance")
 
 
-_CORNERS = F.array(*[F.array(*[F.col(f"p{a}") + s * F.col("r") for a, s in zip(XYZ, signs)]) for signs in ((x, y, z) for x in (-1, 1) for y in (-1, 1) for z in (-1, 1))])  # of a cube around each part
+def _corners():
+    """Of a cube around each part."""
+    signs = [(x, y, z) for x in (-1, 1) for y in (-1, 1) for z in (-1, 1)]
+    return F.array(*[F.array(*[F.col(f"p{a}") + s * F.col("r") for a, s in zip(XYZ, at)]) for at in signs])
 
 
 @query(f"WITH {PT}, {_voxels(24)} SELECT DISTINCT 0::BIGINT AS set_id, x, y, z FROM pt, g WHERE " + " AND ".join(f"abs((g.{a} + 0.5) / 24 - p{a}) <= r" for a in XYZ))
 def hull_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = part_spheres(spark, sf_dir)
-    return particles.rasterize_hulls(items.select("set_id", "id", _CORNERS.alias("points")), (24, 24, 24))
+    return particles.rasterize_hulls(items.select("set_id", "id", _corners().alias("points")), (24, 24, 24))
 
 
-_TIPS = F.array(*[F.array(*[F.col(f"p{a}") + (s * F.col("r") if k == axis else 0.0) for k, a in enumerate(XYZ)]) for axis in range(3) for s in (-1, 1)])  # of an octahedron around each part
+def _tips():
+    """Of an octahedron around each part."""
+    return F.array(*[F.array(*[F.col(f"p{a}") + (s * F.col("r") if k == axis else 0.0) for k, a in enumerate(XYZ)]) for axis in range(3) for s in (-1, 1)])
 
 
 @query(f"WITH {PT} SELECT 0::BIGINT AS set_id, a.id AS a, b.id AS b FROM pt a JOIN pt b ON a.id < b.id AND {_MEET} WHERE " + " + ".join(f"abs(a.p{c} - b.p{c})" for c in XYZ) + " <= a.r + b.r")
 def convex_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Octahedra meet where the sum of the distances along the axes is at most that of their radii."""
     items = part_spheres(spark, sf_dir)
-    return particles.convex_collisions(items.select("set_id", "id", _TIPS.alias("points")), 0.11)
+    return particles.convex_collisions(items.select("set_id", "id", _tips().alias("points")), 0.11)
 
 
 # Diffusion. SQL solves each volume's 64 equations by elimination without pivoting, which the dominant diagonal allows.

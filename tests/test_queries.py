@@ -19,3 +19,14 @@ def test_entry():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert set(q.QUERIES) <= set(e.queries())
+
+
+def test_entry_needs_no_session():
+    """Queries and their SQL are there before any session is."""
+    import subprocess
+    import sys
+
+    from conftest import ROOT
+
+    code = "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 100)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True).stdout.strip() == "True"
