@@ -504,12 +504,6 @@ def tau_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actions.tau(to_bricks(large_mask(spark, sf_dir), LARGE), AXIS_DIRS)
 
 
-@query()
-def concentration_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    solved = to_voxels(diffusion.concentrations(small_bricks(spark, sf_dir), "X_POS")).withColumnRenamed("v", "c")
-    return diffusion.concentration_profile(solved, SMALL, "X_POS")
-
-
 # Particles.
 
 
