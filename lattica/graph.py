@@ -6,10 +6,15 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Edges that one task finishes, once no more are left.
+FINISH = 1 << 17
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: spark.checkpoint.dir, which all executors share.
 
@@ -105,21 +110,53 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(ways).alias("e")).select("e.a", "e.b")
 
 
+def _finish(edges: DataFrame) -> DataFrame:
+    """(a, to): each node of few edges that isn't the smallest it reaches, with that one; found in one task."""
+
+    def run(parts):
+        held = [part for part in parts if part.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        kind, n = table.column("a").type, table.num_rows
+        if pa.types.is_integer(kind):
+            names, at = np.unique(np.concatenate([table.column(c).to_numpy() for c in "ab"]), return_inverse=True)
+            name = lambda k: pa.array(names[k], kind)
+        else:  # structs order by their fields, nulls first
+            items = [v for c in "ab" for v in table.column(c).to_pylist()]
+            keys = [tuple((x is not None, x) for x in v.values()) if isinstance(v, dict) else v for v in items]
+            value = dict(zip(keys, items))
+            names = sorted(value)
+            number = {key: k for k, key in enumerate(names)}
+            at = np.array([number[key] for key in keys])
+            name = lambda k: pa.array([value[names[j]] for j in k], kind)
+        label = roots(len(names), at[:n], at[n:])
+        moved = np.flatnonzero(label != np.arange(len(names)))
+        yield pa.RecordBatch.from_arrays([name(moved), name(label[moved])], names=["a", "to"])
+
+    return edges.coalesce(1).mapInArrow(run, edges.select("a", F.col("b").alias("to")).schema)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of the graph with edges (a, b), as (node, component), for nodes that have edges.
 
     component is the smallest node reachable. Nodes may be of any type that has an order, structs
     too. Each round hooks every node to its smallest smaller neighbour, shortens the chains once,
-    and contracts the edges; only whether edges are left reaches the driver. A hub only costs in
-    the two joins of the contraction, which adaptive execution can split; the minimum is combined
-    map-side. Edges with a null end and loops are left out; without edges the result is empty.
+    and contracts the edges; only how many edges are left reaches the driver, and as soon as they
+    are at most FINISH one task finishes them. A hub only costs in the two joins of the
+    contraction, which adaptive execution can split; the minimum is combined map-side. Edges with a null end and loops are left out; without edges the result is empty.
     """
     spark, old = edges.sparkSession, []
     ordered = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     edges = durable(ordered.distinct(), old)
     label = durable(_both_ways(edges).select(F.col("a").alias("node"), F.col("a").alias("component")).distinct(), old)
-    while not edges.isEmpty():
+    while left := edges.count():
         used, old = old, []
+        if left <= FINISH:
+            moved = _finish(edges).select(F.col("a").alias("component"), "to")
+            label = durable(label.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+            discard(spark, used)
+            return label
         hook = _both_ways(edges).groupBy("a").agg(F.min("b").alias("to")).where("to < a")  # read twice below, shuffled once
         further = hook.select(F.col("a").alias("to"), F.col("to").alias("further"))
         hook = durable(hook.join(further, "to", "left").select("a", F.coalesce("further", "to").alias("to")), used)

@@ -175,3 +175,20 @@ def test_numbers_within_groups_of_any_size(spark, partitions):
         want.append((g, k, seen[g]))
     assert got == want
     assert numbered(spark.createDataFrame([], "g long, k long"), "g", ["k"], "place").count() == 0
+
+
+@pytest.mark.parametrize("finish", [0, 20, 1 << 17])
+@pytest.mark.parametrize("kind", ["long", "string", "struct<g: long, k: string>"])
+def test_components_by_rounds_and_in_one_task(spark, monkeypatch, finish, kind):
+    from lattica import graph
+
+    monkeypatch.setattr(graph, "FINISH", finish)
+    draw = np.random.default_rng(8)
+    pairs = [(int(a), int(b)) for a, b in draw.integers(0, 120, (100, 2))] + [(200 + k, 201 + k) for k in range(30)]
+    name = {"long": lambda k: k, "string": lambda k: f"{k:04d}"}.get(kind, lambda k: (k // 50, f"{k:04d}" if k % 50 else None))
+    edges = spark.createDataFrame([(name(a), name(b)) for a, b in pairs], f"a {kind}, b {kind}")
+    label = graph.roots(300, np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))
+    want = {name(k): name(int(label[k])) for pair in pairs if pair[0] != pair[1] for k in pair}
+    plain = lambda v: tuple(v) if isinstance(v, tuple) else v
+    got = {plain(r.node): plain(r.component) for r in graph.connected_components(edges).collect()}
+    assert got == want
