@@ -543,9 +543,7 @@ def trimmed_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PT}, o AS (SELECT 0::BIGINT AS set_id, a.id, count(*)::DOUBLE AS overlap FROM pt a JOIN pt b ON a.id <> b.id AND {_BOX} GROUP BY a.id) SELECT set_id, id, overlap FROM o ORDER BY overlap DESC, id LIMIT 1")
 def argmax_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = particles.overlapping(particles.boxes(part_spheres(spark, sf_dir)), 0.11)
-    ends = pairs.select("set_id", F.explode(F.array("a", "b")).alias("id"))
-    return particles.largest_overlap(ends.groupBy("set_id", "id").agg(F.count("*").cast("double").alias("overlap")))
+    return particles.largest_overlap(particles.overlap_counts(particles.boxes(part_spheres(spark, sf_dir)), 0.11))
 
 
 @query("""WITH w AS (SELECT c_nationkey, c_custkey, sum(c_custkey % 7 + 1) OVER (PARTITION BY c_nationkey ORDER BY c_custkey % 7 + 1, c_custkey ROWS UNBOUNDED PRECEDING) / sum(c_custkey % 7 + 1) OVER (PARTITION BY c_nationkey)::DOUBLE AS share,

@@ -43,3 +43,14 @@ def test_box_pairs_need_no_join_of_items(spark):
     import lattica.plans.queries as q
 
     assert "Join" not in q.QUERIES["aabb_pairs"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_overlap_counts(spark, monkeypatch):
+    """Counted without a row for each pair."""
+    from collections import Counter
+
+    monkeypatch.setattr(particles, "TILE", 32)
+    rows = random_boxes(240, seed=9)
+    made = particles.overlap_counts(spark.createDataFrame([(None if r[0] is None else int(r[0]), *r[1:]) for r in rows], BOX), 0.25)
+    count = Counter((s, k) for s, a, b in all_pairs(rows) for k in (a, b))
+    assert {(r.set_id, r.id): r.overlap for r in made.collect()} == count
