@@ -9,7 +9,7 @@ empty, others are split up to a depth, where the sign of the centre decides.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,16 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import durable
 from ..volumes import BRICK, Dims
-from .particles import overlapping, poisson_disk
+from .particles import in_cubes, meeting_pairs, poisson_disk, summed
 
 Distance = Callable[[np.ndarray], np.ndarray]
 
 
 def rotation(q: np.ndarray) -> np.ndarray:
-    """The matrix of a quaternion (x, y, z, w)."""
-    x, y, z, w = q / max(1e-300, np.linalg.norm(q))
+    """The matrix of a quaternion (x, y, z, w); of quaternions (4, n) the matrices (3, 3, n)."""
+    x, y, z, w = q / np.maximum(1e-300, np.linalg.norm(q, axis=0 if q.ndim > 1 else None))
     return np.array([
         [1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)],
         [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)],
@@ -87,10 +86,12 @@ def inside_box(items: list[Primitive], low: np.ndarray, high: np.ndarray) -> lis
     return [i for i in items if meet(i.bounds(), (low, high))]
 
 
+_CORNERS = np.array([[i, j, k] for k in (0, 1) for j in (0, 1) for i in (0, 1)], float)
+
+
 def _octants(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     half = size / 2
-    corners = np.array([[i, j, k] for k in (0, 1) for j in (0, 1) for i in (0, 1)], float)
-    return (low[:, None, :] + corners[None] * half).reshape(-1, 3), half
+    return (low[:, None, :] + _CORNERS[None] * half).reshape(-1, 3), half
 
 
 def octree_cells(f: Distance, low: np.ndarray, high: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -332,13 +333,78 @@ def count_sets(items: DataFrame, dims: Dims) -> DataFrame:
     return items.groupBy("set_id").applyInArrow(run, "set_id long, in_union long, in_all long, in_void long")
 
 
+class Primitives:
+    """Ellipsoids and boxes of many rows (kind, p, q and s columns; no kind: ellipsoids), as Primitive has them one by one."""
+
+    def __init__(self, rows: pa.RecordBatch | pa.Table):
+        column = lambda c: rows.column(c).to_numpy(zero_copy_only=False)
+        self.position, turn, self.size = (np.stack([column(f"{c}{a}").astype(float) for a in axes], axis=1) for c, axes in (("p", "xyz"), ("q", "xyzw"), ("s", "xyz")))
+        kinds = rows.column("kind").to_pylist() if "kind" in rows.schema.names else [None] * rows.num_rows
+        self.box = np.array([k == "box" for k in kinds], bool)
+        self.matrix = rotation(turn.T).transpose(2, 0, 1)
+
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        by_box = np.einsum("nij,nj->ni", np.abs(self.matrix), self.size)
+        reach = np.where(self.box[:, None], by_box, np.sqrt(np.einsum("nij,nj->ni", self.matrix * self.matrix, self.size**2)))
+        return self.position - reach, self.position + reach
+
+    def along_axes(self) -> np.ndarray:
+        """Which are boxes whose edges run along the axes."""
+        return self.box & np.isin(self.matrix, (-1.0, 0.0, 1.0)).all(axis=(1, 2))
+
+    def distance(self, rows: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Signed distances of points (n, 3), each from the item of its row."""
+        local, size, out = np.einsum("ni,nij->nj", p - self.position[rows], self.matrix[rows]), self.size[rows], np.empty(len(rows))
+        box = self.box[rows]
+        if box.any():
+            q = np.abs(local[box]) - size[box]
+            out[box] = np.linalg.norm(np.maximum(q, 0), axis=1) + np.minimum(q.max(axis=1), 0)
+        if not box.all():
+            local, size = local[~box], size[~box]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                k0, k1 = np.linalg.norm(local / size, axis=1), np.linalg.norm(local / size**2, axis=1)
+                out[~box] = np.where(k1 > 0, k0 * (k0 - 1) / np.where(k1 > 0, k1, 1), -size.min(axis=1, initial=np.inf))
+        return out
+
+
+def shared_volumes(a: Primitives, b: Primitives, i: np.ndarray, j: np.ndarray, depth: int) -> np.ndarray:
+    """The volumes that items i of a and j of b share, pair by pair: of two boxes along the axes their
+    overlap, which the octree would give too; of others by one octree for each pair, all at a time."""
+    (low_a, high_a), (low_b, high_b) = a.bounds(), b.bounds()
+    low, high = np.maximum(low_a[i], low_b[j]), np.minimum(high_a[i], high_b[j])
+    out = np.maximum(high - low, 0).prod(axis=1)
+    left = np.flatnonzero(~(a.along_axes()[i] & b.along_axes()[j]))
+    step = max(1, (1 << 18) >> (3 * depth))
+    for k in range(0, len(left), step):
+        rows = left[k : k + step]
+        out[rows] = _octree_volumes(a, b, i[rows], j[rows], low[rows], high[rows], depth)
+    return out
+
+
+def _octree_volumes(a: Primitives, b: Primitives, i: np.ndarray, j: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int) -> np.ndarray:
+    """volume_of the intersection of items i of a and j of b in their boxes low .. high; 0 where a box is empty."""
+    at = np.flatnonzero((low < high).all(axis=1))
+    corners, size, out = low[at], high - low, np.zeros(len(i))
+    for level in range(depth + 1):
+        middle, half = corners + size[at] / 2, np.linalg.norm(size[at], axis=1) / 2
+        d = np.maximum(a.distance(i[at], middle), b.distance(j[at], middle))
+        full = d <= -half if level < depth else d < 0
+        out += np.bincount(at[full], size[at[full]].prod(axis=1), len(i))
+        split = np.abs(d) < half
+        if level == depth or not split.any():
+            break
+        at, size = at[split], size / 2
+        corners = (corners[split][:, None] + _CORNERS[None] * size[at][:, None]).reshape(-1, 3)
+        at = np.repeat(at, 8)
+    return out
+
+
 def with_bounds(items: DataFrame) -> DataFrame:
     """items (kind, p, q and s columns) with the boxes around them, min_x .. max_z."""
 
     def run(parts):
         for part in parts:
-            ends = [_primitive(r).bounds() for r in part.to_pylist()]
-            columns = [pa.array([float(e[m][k]) for e in ends], pa.float64()) for m in (0, 1) for k in range(3)]
+            columns = [pa.array(np.ascontiguousarray(end[:, k]), from_pandas=True) for end in Primitives(part).bounds() for k in range(3)]
             yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *BOUNDS])
 
     return items.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in items.schema.fields), *(f"{b} double" for b in BOUNDS)]))
@@ -360,25 +426,22 @@ BOUNDS = [f"{m}_{a}" for m in ("min", "max") for a in "xyz"]
 def overlap_volumes(items: DataFrame, bins: float, depth: int = 3) -> DataFrame:
     """(set_id, id, shared): for each item the volume it shares with others, over all pairs whose bounds meet.
 
-    items: (set_id, id, kind, px .. pz, qx .. qw, sx .. sz). Pairs meet by overlapping's join in
-    bins of the edge `bins`; each pair's volume is found on its own, on any executor, and
-    summed by item. Items that meet no other have no row.
+    items: (set_id, id, kind, px .. pz, qx .. qw, sx .. sz). Pairs meet in cubes of the edge `bins`,
+    as in_cubes has it; each task finds its pairs' volumes, many at a time, and sums them by item
+    before a row is made. Items that meet no other have no row.
     """
-    boxed = durable(with_bounds(items))
-    what = F.struct("kind", *[f"{c}{a}" for c, axes in (("p", "xyz"), ("q", "xyzw"), ("s", "xyz")) for a in axes])
-    described = boxed.select("set_id", "id", what.alias("what"))
-    pairs = overlapping(boxed, bins)
-    for side in "ab":
-        pairs = pairs.join(described.select("set_id", F.col("id").alias(side), F.col("what").alias(f"what_{side}")), ["set_id", side])
 
-    def run(parts):
-        for part in parts:
-            shared = []
-            for a, b in zip(part.column("what_a").to_pylist(), part.column("what_b").to_pylist()):
-                both = [_primitive(a), _primitive(b)]
-                box = meet(both[0].bounds(), both[1].bounds())
-                shared.append(volume_of(intersection(both), *box, depth) if box else 0.0)
-            yield pa.RecordBatch.from_arrays([part.column("set_id"), part.column("a"), part.column("b"), pa.array(shared, pa.float64())], names=["set_id", "a", "b", "shared"])
-
-    found = pairs.mapInArrow(run, "set_id long, a long, b long, shared double")
-    return found.select("set_id", F.explode(F.array("a", "b")).alias("id"), "shared").groupBy("set_id", "id").agg(F.sum("shared").alias("shared"))
+    def work(a: pa.Table, b: pa.Table) -> Iterator[pa.RecordBatch]:
+        of_a = Primitives(a)
+        of_b = of_a if a is b else Primitives(b)
+        shared_a, shared_b, n_a, n_b = (np.zeros(n) for n in (a.num_rows, b.num_rows) * 2)
+        for i, j in meeting_pairs(a, b):
+            shared = shared_volumes(of_a, of_b, i, j, depth)
+            for k, total, n in ((i, shared_a, n_a), (j, shared_b, n_b)):
+                total += np.bincount(k, shared, len(total))
+                n += np.bincount(k, minlength=len(n))
+        return summed(a, b, shared_a, shared_b, n_a > 0, n_b > 0, "shared")
+
+    what = ["kind", *[f"{c}{a}" for c, axes in (("p", "xyz"), ("q", "xyzw"), ("s", "xyz")) for a in axes]]
+    found = in_cubes(with_bounds(items), bins, work, "set_id long, id long, shared double", what)
+    return found.groupBy("set_id", "id").agg(F.sum("shared").alias("shared"))

@@ -94,3 +94,38 @@ def test_hulls_of_one_shape_share_their_triangles(monkeypatch):
     centres = np.random.default_rng(1).uniform(0, 1, (500, 3))
     hulls = particles.Hulls(pa.array([(tips * (0.01 + k / 1000) + c).ravel().tolist() for k, c in enumerate(centres)]))
     assert len(made) == 1 and np.allclose(np.abs(hulls.normals), 3**-0.5)
+
+
+def test_overlap_volumes_by_many(spark, monkeypatch):
+    """Ellipsoids and boxes, turned or not, many pairs at a time, as by one at a time; nulls share nothing."""
+    from lattica.operators import sdf
+
+    monkeypatch.setattr(particles, "TILE", 16)
+    draw, turned = np.random.default_rng(8), []
+    for k in range(60):
+        turn = draw.normal(size=4) if k % 3 else np.array([0.0, 0, 0, 1])
+        turned.append(sdf.Primitive(draw.uniform(0.03, 0.15, 3), draw.uniform(0, 0.5, 3), turn, ("box", "ellipsoid")[k % 2]))
+    columns = "set_id long, id long, kind string, " + ", ".join(f"{c} double" for c in ("px", "py", "pz", "qx", "qy", "qz", "qw", "sx", "sy", "sz"))
+    rows = [(0, k, None if k == 1 else i.kind, *map(float, (*i.position, *i.turn, *i.size))) for k, i in enumerate(turned)]
+    rows.append((0, 1000, "box", 0.2, 0.2, 0.2, 0.0, 0.0, 0.0, 1.0, 0.1, 0.1, None))
+    found = {r.id: r.shared for r in sdf.overlap_volumes(spark.createDataFrame(rows, columns), 0.3).collect()}
+    assert found.keys() <= set(range(60))
+    assert [found.get(k, 0.0) for k in range(60)] == pytest.approx(sdf.overlaps(turned).tolist(), abs=1e-12)
+
+
+def test_volumes_of_boxes_need_no_octree(monkeypatch):
+    """Of boxes along the axes the overlap is the volume, and one call answers for all pairs."""
+    import pyarrow as pa
+
+    from lattica.operators import sdf
+
+    draw, n = np.random.default_rng(2), 200
+    columns = {"kind": ["box"] * n} | {f"p{a}": draw.uniform(0, 0.4, n) for a in "xyz"} | {f"q{a}": np.full(n, float(a == "w")) for a in "xyzw"} | {f"s{a}": draw.uniform(0.05, 0.2, n) for a in "xyz"}
+    rows = pa.table(columns)
+    i, j = np.triu_indices(n, 1)
+    one = [sdf.Primitive(*(np.array([r[f"{c}{a}"] for a in "xyz"]) for c in "sp"), kind="box") for r in rows.to_pylist()]
+    some = draw.choice(len(i), 300, replace=False)
+    want = [sdf.volume_of(sdf.intersection([one[x], one[y]]), *box, 3) if (box := sdf.meet(one[x].bounds(), one[y].bounds())) else 0.0 for x, y in zip(i[some], j[some])]
+    monkeypatch.setattr(sdf, "_octree_volumes", None)
+    held = sdf.Primitives(rows)
+    assert sdf.shared_volumes(held, held, i, j, 3)[some] == pytest.approx(want, rel=1e-9, abs=1e-15)
