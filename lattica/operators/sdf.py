@@ -282,6 +282,7 @@ def pack(n: int, size: tuple[float, float, float], seed: int, max_iter: int = 20
     return run.best, run
 
 
+_DESCRIBED = [f"{c}{a}" for c, axes in (("p", "xyz"), ("q", "xyzw"), ("s", "xyz")) for a in axes]
 PACKED = "set_id long, id long, px double, py double, pz double, qx double, qy double, qz double, qw double, sx double, sy double, sz double, score double, steps int, porosity double"
 
 
@@ -306,15 +307,81 @@ def _packed_schema() -> pa.Schema:
     return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in PACKED.split(", ")])
 
 
-def rasterize_sets(packed: DataFrame, dims: Dims) -> DataFrame:
-    """A brick for each packed set."""
+#: Items of a set that one task rasterizes, and points that are looked at together.
+SHARE, POINTS = 1 << 13, 1 << 18
+_DOMAIN = np.full(3, -1.0), np.full(3, 1.0)
+
 
-    def build(table: pa.Table) -> pa.Table:
-        items = [Primitive(np.array([r["sx"], r["sy"], r["sz"]]), np.array([r["px"], r["py"], r["pz"]]), np.array([r["qx"], r["qy"], r["qz"], r["qw"]])) for r in table.to_pylist()]
-        data = rasterize(items, np.array([-1.0] * 3), np.array([1.0] * 3), dims)
-        return pa.table({"volume_id": table.column("set_id").slice(0, 1)} | {f"d{a}": pa.array([d], pa.int32()) for a, d in zip("xyz", dims)} | {"kind": ["<u1"], "data": pa.array([data.tobytes()], pa.binary())})
+def rasterize_sets(packed: DataFrame, dims: Dims) -> DataFrame:
+    """A brick for each packed set: 255 where a voxel's centre is inside one of its items.
 
-    return packed.groupBy("set_id").applyInArrow(build, BRICK)
+    packed: (set_id, id, px .. pz, qx .. qw, sx .. sz, and kind or not); items with nulls hold
+    nothing. A set of many items is dealt over tasks, whose bricks are then united; a task holds one
+    brick and a batch of rows, however many items there are.
+    """
+    spark = packed.sparkSession
+    what = [c for c in packed.columns if c == "kind" or c in _DESCRIBED]
+    counts = packed.groupBy("set_id").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
+    most = counts.agg(F.max("shares")).first()[0] or 0
+    dealt = packed.select("set_id", "id", *what)
+    if most > 1:
+        dealt = dealt.join(counts.where("shares > 1"), "set_id", "left").withColumn("share", F.pmod(F.xxhash64("id"), F.coalesce("shares", F.lit(1))))
+    else:
+        dealt = dealt.withColumn("share", F.lit(0).cast("long"))
+    kept = ["set_id", "share", *what]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.select(*kept).repartition(tasks, "set_id", "share").sortWithinPartitions("set_id", "share")
+
+    def brick(key: tuple, data: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), *[pa.array([d], pa.int32()) for d in dims], pa.array(["<u1"]), pa.array([data.tobytes()], pa.binary())], names=[c.split()[0] for c in BRICK.split(", ")])
+
+    def united(by: list[str], add: Callable[[np.ndarray, pa.RecordBatch], None]):
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            data, last = None, None
+            for part in parts:
+                keys = list(zip(*(part.column(c).to_pylist() for c in by)))
+                turns = [k for k in range(len(keys)) if k == 0 or keys[k] != keys[k - 1]] + [len(keys)]
+                for begin, end in zip(turns, turns[1:]):
+                    if data is None or keys[begin] != last:
+                        if data is not None:
+                            yield brick(last, data)
+                        data, last = np.zeros(int(np.prod(dims)), np.uint8), keys[begin]
+                    add(data, part.slice(begin, end - begin))
+            if data is not None:
+                yield brick(last, data)
+
+        return run
+
+    made = dealt.mapInArrow(united(["set_id", "share"], lambda data, rows: fill(data, Primitives(rows), *_DOMAIN, dims)), BRICK)
+    if most <= 1:
+        return made
+
+    def unite(data: np.ndarray, rows: pa.RecordBatch) -> None:
+        for one in rows.column("data"):
+            np.maximum(data, np.frombuffer(one.as_buffer(), np.uint8), out=data)
+
+    return made.repartition(tasks, "volume_id").sortWithinPartitions("volume_id").mapInArrow(united(["volume_id"], unite), BRICK)
+
+
+def fill(data: np.ndarray, items: Primitives, low: np.ndarray, high: np.ndarray, dims: Dims) -> None:
+    """Set 255 in data (x fastest) for the voxels of low .. high whose centre is inside an item. Only voxels within items' bounds are looked at, POINTS at a time."""
+    size, step = np.array(dims), (high - low) / np.array(dims)
+    ends = ((end - low) / step - 0.5 for end in items.bounds())
+    lacking = ~np.isfinite(items.size + items.position).all(axis=1)
+    first, last = (np.where(lacking[:, None], 0, np.clip(r(end), lo, hi)).astype(np.int64) for r, end, lo, hi in zip((np.floor, np.ceil), ends, (0, -1), (size, size - 1)))
+    extent = np.maximum(last - first + 1, 0)
+    extent[lacking] = 0
+    upto = np.cumsum(extent.prod(axis=1))
+    for k in range(0, int(upto[-1]) if len(upto) else 0, POINTS):
+        at = np.arange(k, min(k + POINTS, int(upto[-1])))
+        row = np.searchsorted(upto, at, "right")
+        at -= (upto - extent.prod(axis=1))[row]
+        dx, dy, _ = extent[row].T
+        x, y, z = (first[row] + np.stack([at % dx, at // dx % dy, at // (dx * dy)], axis=1)).T
+        flat = (z * size[1] + y) * size[0] + x
+        new = np.flatnonzero(data[flat] == 0)
+        centre = low + (np.stack([x[new], y[new], z[new]], axis=1) + 0.5) * step
+        data[flat[new[items.distance(row[new], centre) < 0]]] = 255
 
 
 def _primitive(r: dict) -> Primitive:
@@ -442,6 +509,5 @@ def overlap_volumes(items: DataFrame, bins: float, depth: int = 3) -> DataFrame:
                 n += np.bincount(k, minlength=len(n))
         return summed(a, b, shared_a, shared_b, n_a > 0, n_b > 0, "shared")
 
-    what = ["kind", *[f"{c}{a}" for c, axes in (("p", "xyz"), ("q", "xyzw"), ("s", "xyz")) for a in axes]]
-    found = in_cubes(with_bounds(items), bins, work, "set_id long, id long, shared double", what)
+    found = in_cubes(with_bounds(items), bins, work, "set_id long, id long, shared double", ["kind", *_DESCRIBED])
     return found.groupBy("set_id", "id").agg(F.sum("shared").alias("shared"))

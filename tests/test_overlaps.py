@@ -129,3 +129,43 @@ def test_volumes_of_boxes_need_no_octree(monkeypatch):
     monkeypatch.setattr(sdf, "_octree_volumes", None)
     held = sdf.Primitives(rows)
     assert sdf.shared_volumes(held, held, i, j, 3)[some] == pytest.approx(want, rel=1e-9, abs=1e-15)
+
+
+@pytest.mark.parametrize("share, points", [(1 << 13, 1 << 18), (8, 100)])
+def test_raster_of_large_sets(spark, monkeypatch, share, points):
+    """A set dealt over tasks, some voxels of some items at a time, as by all items at once; nulls hold nothing."""
+    from lattica.operators import sdf
+
+    monkeypatch.setattr(sdf, "SHARE", share)
+    monkeypatch.setattr(sdf, "POINTS", points)
+    draw, sets = np.random.default_rng(3), {}
+    for k in range(50):
+        turn = draw.normal(size=4) if k % 2 else np.array([0.0, 0, 0, 1])
+        sets.setdefault(k % 2 if k < 48 else 7, []).append(sdf.Primitive(draw.uniform(0.02, 0.4, 3), draw.uniform(-1.2, 1.2, 3), turn))
+    columns = "set_id long, id long, " + ", ".join(f"{c} double" for c in ("px", "py", "pz", "qx", "qy", "qz", "qw", "sx", "sy", "sz"))
+    rows = [(n, k, *map(float, (*i.position, *i.turn, *i.size))) for n, held in sets.items() for k, i in enumerate(held)]
+    rows += [(1, 100, None, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.5, 0.5, 0.5), (8, 100, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.5, None, 0.5)]
+    made = sdf.rasterize_sets(spark.createDataFrame(rows, columns), (12, 10, 8)).collect()
+    found = {r.volume_id: np.frombuffer(r.data, np.uint8).reshape(r.dz, r.dy, r.dx) for r in made}
+    assert len(made) == len(found) == 4 and not found[8].any()
+    for n, held in sets.items():
+        want = sdf.rasterize(held, np.full(3, -1.0), np.full(3, 1.0), (12, 10, 8))
+        assert (found[n] == want).all() and (want.any() or n == 7)
+
+
+def test_raster_holds_no_row_of_distances_for_each_item():
+    """20,000 items of 4096 voxels, whose distances all at once take 655 MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lattica.operators import sdf
+
+    draw, n = np.random.default_rng(2), 20_000
+    rows = pa.table({f"p{a}": draw.uniform(-1, 1, n) for a in "xyz"} | {f"q{a}": np.full(n, float(a == "w")) for a in "xyzw"} | {f"s{a}": draw.uniform(0.02, 0.2, n) for a in "xyz"})
+    data = np.zeros(4096, np.uint8)
+    tracemalloc.start()
+    sdf.fill(data, sdf.Primitives(rows), np.full(3, -1.0), np.full(3, 1.0), (16, 16, 16))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert data.any() and peak < 200e6
