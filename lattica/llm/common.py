@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,13 +12,35 @@ from pyspark.sql import functions as F
 
 from ..graph import connected_components, durable, roots
 
-__all__ = ["batches", "by_pair", "connected_components", "durable", "pack_tiles", "roots", "shuffle_partitions", "slices", "tile_pairs", "tile_size"]
+__all__ = ["batches", "by_pair", "connected_components", "durable", "pack_tiles", "roots", "shuffle_partitions", "slices", "small_batches", "tile_pairs", "tile_size"]
+
+#: Bytes of rows that small_batches lets Spark hand to Python at once.
+BATCH = 2 << 20
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile what is run hands rows to Python in Arrow batches of about BATCH bytes, a row at least.
+
+    An executor holds a batch outside its heap as vectors and as the bytes to send, both of which
+    grow by doubling, for each of its tasks. By default that's 10,000 rows or 64 MiB. A size that
+    the session sets holds.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key in spark.conf.getAll:
+        yield
+        return
+    spark.conf.set(key, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
 def slices(parts: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """The rows of all batches, not empty and at most `rows` at a time, so that what is made of a batch stays small."""
     for part in parts:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, durable
+from .common import batches, durable, small_batches
 
 #: Rows of one length are numbered in so many parts, each by a task of its own.
 PARTS = 256
@@ -230,7 +230,8 @@ def place(rows: DataFrame, room: int) -> DataFrame:
     """
     spark = rows.sparkSession
     part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int")
-    rows = durable(rows.withColumn("_part", part))
+    with small_batches(spark):  # rows come from whole texts
+        rows = durable(rows.withColumn("_part", part))
     by_part = durable(rows.groupBy("length", "_part").agg(F.count("*").alias("n")))  # room * PARTS rows at most
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     shared = spark.sparkContext.broadcast(plan(counts, room))

@@ -114,3 +114,31 @@ def test_sequences_hold_the_ids(spark):
 
 def test_no_documents(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_texts_reach_python_in_small_batches(spark, tmp_path, monkeypatch):
+    from lattica.llm.common import BATCH, batches
+
+    log = str(tmp_path / "log")
+
+    def watched(f, schema):
+        inside = batches(f, schema)
+
+        def run(parts):
+            def noted():
+                for part in parts:
+                    with open(log, "a") as out:
+                        out.write(f"{part.num_rows} {part.nbytes}\n")
+                    yield part
+
+            yield from inside(noted())
+
+        return run
+
+    monkeypatch.setattr(packing, "batches", watched)
+    settings = dict(spark.conf.getAll)
+    docs = spark.range(0, 1500, 1, 1).selectExpr("id AS doc_id", "repeat('eight by ', 1000) AS text")
+    assert packing.pack(docs, PATH).select("doc_id").distinct().count() == 1500
+    rows, size = np.loadtxt(log, int).T
+    assert rows.sum() == 1500 and size.max() < BATCH + 20_000
+    assert dict(spark.conf.getAll) == settings
